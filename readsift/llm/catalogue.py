@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, simhash
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, simhash)
 
 
 def queries() -> dict:
