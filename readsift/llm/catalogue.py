@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash
+from . import quality_rules, simhash, substring_dedup
 
-_MODULES = (quality_rules, simhash)
+_MODULES = (quality_rules, simhash, substring_dedup)
 
 
 def queries() -> dict:
