@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash, substring_dedup
+from . import decontamination, quality_rules, simhash, substring_dedup
 
-_MODULES = (quality_rules, simhash, substring_dedup)
+_MODULES = (quality_rules, simhash, substring_dedup, decontamination)
 
 
 def queries() -> dict:
