@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, simhash, substring_dedup
+from . import decontamination, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 
-_MODULES = (quality_rules, simhash, substring_dedup, decontamination)
+_MODULES = (quality_rules, simhash, substring_dedup, decontamination, quality_classifier, toxicity)
 
 
 def queries() -> dict:
