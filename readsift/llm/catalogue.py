@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
+from . import decontamination, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity
 
-_MODULES = (quality_rules, simhash, substring_dedup, decontamination, quality_classifier, toxicity)
+_MODULES = (quality_rules, simhash, substring_dedup, decontamination, quality_classifier, toxicity, sharding, mixing)
 
 
 def queries() -> dict:

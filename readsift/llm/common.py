@@ -86,10 +86,9 @@ def ranked(df: DataFrame, order: Sequence[str], rank: str, within: Sequence[str]
     s = cut(s, tag).withColumn("__pid", F.shiftright("__mid", 33))
     per = s.groupBy("__pid", *within).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__low"))
     w = Window.partitionBy(*within).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("__pid", *within, (F.coalesce(F.sum("__n").over(w), F.lit(0)) - F.col("__low")).alias("__base"))
-    on = [s["__pid"] == per["__pid"], *[s[c].eqNullSafe(per[c]) for c in within]]
-    out = s.join(per, on).select(*[s[c] for c in df.columns], (s["__mid"] + per["__base"]).alias(rank))
-    return out
+    per = per.select(F.col("__pid").alias("__p"), *[F.col(c).alias(f"__w{i}") for i, c in enumerate(within)], (F.coalesce(F.sum("__n").over(w), F.lit(0)) - F.col("__low")).alias("__base"))
+    on = [F.col("__pid") == F.col("__p"), *[F.col(c).eqNullSafe(F.col(f"__w{i}")) for i, c in enumerate(within)]]
+    return s.join(per, on).select(*df.columns, (F.col("__mid") + F.col("__base")).alias(rank))
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = 16) -> DataFrame:
@@ -100,3 +99,15 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, s
     l = left.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     r = right.withColumnRenamed(key, "__key").withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, (l["__salt"] == r["__s"]) & l[key].eqNullSafe(r["__key"]), "left").drop("__salt", "__s", "__key")
+
+
+def skewed_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join on ``key``, where ``right`` has one row a key and its column ``rows`` counts the key's rows in ``left``.
+
+    Keys with more than ``1/share`` of all ``total`` rows are fewer than ``share``, so they are
+    broadcast; the rest are joined by a shuffle in which no key is hot.
+    """
+    at = max(1000, total // share)
+    hot = F.broadcast(right.where(F.col(rows) > at))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(rows) <= at), key)
+    return left.join(hot, key).unionByName(cold)
