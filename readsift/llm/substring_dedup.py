@@ -235,7 +235,9 @@ def _first_keeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = doc == least
         flag = np.where(first, salt, 0).astype(np.int32)
         keep = ~(first & (salt == 0))
-        t = b.set_column(2, "salt", pa.array(flag)).filter(pa.array(keep))
+        cold = flag == 0  # settled: the key is of no more use, and random bytes do not compress
+        t = b.set_column(0, "h1", pa.array(np.where(cold, 0, h1))).set_column(1, "h2", pa.array(np.where(cold, 0, h2)))
+        t = t.set_column(2, "salt", pa.array(flag)).filter(pa.array(keep))
         if t.num_rows:
             yield t
 
