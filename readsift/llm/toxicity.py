@@ -224,13 +224,14 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text")
     """``columns`` of every row, and ``__score``."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    d = docs.select(*columns, F.col(text).alias("__text"))
+    d = docs.select(*columns, *([] if text in columns else [text]))
     schema = docs.select(*columns, F.lit(0.0).alias("__score")).schema
+    at, n = d.columns.index(text), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = held.value.score(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], schema.fieldNames())
+            out = held.value.score(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out)], schema.fieldNames())
 
     return d.mapInArrow(run, schema)
 
