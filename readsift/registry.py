@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import evaluation, learning, reads, streams
+
 Query = Callable[[SparkSession, str], DataFrame]
-_modules: list = []
+_modules = (reads, evaluation, learning, streams)
 
 
 def queries() -> dict[str, Query]:
@@ -19,4 +21,5 @@ def oracles() -> dict[str, str]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Ranking metrics of every model, by level and with or without truncated reads."""
+    return evaluation.stratified_metrics(spark, sf_dir)
