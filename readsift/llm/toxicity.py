@@ -47,7 +47,7 @@ class Sample:
     words: int = 1024
     min_docs: int = 3
     min_z: float = 3.0
-    min_lift: float = 4.0
+    min_lift: float = 6.0
 
 
 SAMPLE = Sample()
@@ -73,17 +73,18 @@ def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(p, pa.int64()), pa.array(u, pa.int64())], ["word", "p", "u"])
 
 
-def vocabulary(sample: DataFrame, n_p: int, n_u: int, s: Sample = SAMPLE) -> list[str]:
+def vocabulary(sample: DataFrame, n_p: int, n_u: int, prior: float, s: Sample = SAMPLE) -> list[str]:
     """The features most overrepresented in P against U, by a two-sample z statistic.
 
-    Only features with ``min_z`` and ``min_lift`` enter, so that what a few copies of one text
-    happen to share does not.
+    Only features with ``min_z`` enter whose share in P is ``min_lift`` times their share among
+    negatives, which is U's less the positives in it: (u - prior * p) / (1 - prior). So what a few
+    copies of one text happen to share does not enter.
     """
     counts = sample.select("text", "p", "u").mapInArrow(_doc_words, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     a, b = F.col("p") / n_p, F.col("u") / n_u
     pooled = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + F.lit(1e-12))
-    top = counts.where((F.col("p") + F.col("u") >= s.min_docs) & (a >= s.min_lift * b) & (z >= s.min_z)).select("word", F.round(z, 9).alias("z")).orderBy(F.desc("z"), "word").limit(s.words)
+    top = counts.where((F.col("p") + F.col("u") >= s.min_docs) & (a >= s.min_lift * (b - prior * a) / (1 - prior)) & (z >= s.min_z)).select("word", F.round(z, 9).alias("z")).orderBy(F.desc("z"), "word").limit(s.words)
     return sorted(r.word for r in top.collect())
 
 
@@ -202,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Sample = SAMPLE, id: str = "doc
     n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
     if not n_p or not n_u:
         return Model([], [])
-    words = vocabulary(sample, n_p, n_u, s)
+    prior = min(max(n_pos / n, 1e-4), 0.9)
+    words = vocabulary(sample, n_p, n_u, prior, s)
     if not words:
         return Model([], [])
     features = Features(words)
@@ -216,7 +218,6 @@ def train(docs: DataFrame, labels: DataFrame, s: Sample = SAMPLE, id: str = "doc
     got = got.iloc[np.lexsort((got["x"].map(len), got["doc_id"]))]
     x = features.matrix([list(v) for v in got["x"]])
     is_p, is_u = got["p"].to_numpy() == 1, got["u"].to_numpy() == 1
-    prior = min(max(n_pos / n, 1e-4), 0.9)
     return Model(words, [fit(x[is_p], x[is_u], prior, hidden, seed) for hidden, seed in ((0, 11), (16, 12))])
 
 
