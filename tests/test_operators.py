@@ -39,8 +39,8 @@ def test_ragged_paf(spark, tmp_path):
 
 def test_competition(spark):
     df = lambda x: spark.createDataFrame(x, "read_id string, score double")
-    host = [df([("r_human", 100.0), ("r_zymo", 40.0), ("r_tie", 70.0)]), df([("r_t2t", 90.0)])]
-    gone = labels.depleted(host, df([("r_human", 80.0), ("r_zymo", 120.0), ("r_tie", 70.0)]))
+    host = [df([("r_human", 100.0), ("r_target", 40.0), ("r_tie", 70.0)]), df([("r_t2t", 90.0)])]
+    gone = labels.depleted(host, df([("r_human", 80.0), ("r_target", 120.0), ("r_tie", 70.0)]))
     assert {r.read_id for r in gone.collect()} == {"r_human", "r_t2t"}
     reads = df([("r_tie", 0.0), ("r_t2t", 0.0)])
     assert [r.read_id for r in labels.survivors(reads, gone).collect()] == ["r_tie"]
