@@ -19,8 +19,9 @@ def gc_fraction(s: Column) -> Column:
 
 def homopolymer_frac(s: Column) -> Column:
     """Longest run of one character over the length; 0 for the empty text. Newlines end a run."""
-    runs = F.regexp_extract_all(upper(s), F.lit(r"(?d)((.)\2*)"), 1)
-    longest = F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0))
+    # Only runs of two or more are extracted: most characters of a text begin none.
+    runs = F.regexp_extract_all(upper(s), F.lit(r"(?d)((.)\2+)"), 1)
+    longest = F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), s.rlike(r"(?d).").cast("int"))
     return longest / F.greatest(F.length(s), F.lit(1))
 
 

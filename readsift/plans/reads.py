@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, sequence, tokens
 from ..operators import cutoffs, features, intervals, labels, topk
-from ..session import table
+from ..session import spread, table
 from .bridge import CELLS, HITS_SQL, LEVELS, TIES, labels_sql, line_hits
 from .bridge import labels as order_labels
 
@@ -255,7 +255,7 @@ SELECT doc_id, round((n - length(replace(replace(s, 'G', ''), 'C', ''))) / great
        round(CASE WHEN n < 3 THEN 0 ELSE q / (2 * (n - 2)) END, 6) AS dust_score
 FROM u LEFT JOIN hp USING (doc_id) LEFT JOIN du USING (doc_id)""")
 def sequence_complexity(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "text")
+    t = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     dust = sequence.dust_scores(t, "doc_id", "text")
     c = t.select("doc_id", R(sequence.gc_fraction(F.col("text"))).alias("gc"), R(sequence.homopolymer_frac(F.col("text"))).alias("homopolymer_frac"))
     return c.join(dust, "doc_id").withColumn("dust_score", R("dust_score"))

@@ -25,3 +25,12 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the catalogue's tables; ``sf_dir`` may be any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows by ``key`` where the scan has fewer tasks than cores (small files); else unchanged.
+
+    For row-wise work that is heavy for its input size, so that one file does not mean one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
