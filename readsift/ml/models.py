@@ -48,7 +48,7 @@ def _spark(make: Callable, indicators: bool = False) -> Callable:
 
 
 def _logit(n: int):
-    return LogisticRegression(featuresCol="__x", labelCol="y", weightCol="weight", regParam=0.0, maxIter=50)
+    return LogisticRegression(featuresCol="__x", labelCol="y", weightCol="weight", regParam=0.0, maxIter=30)
 
 
 def fixed_threshold(train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, learning, reads, streams
+from .plans import evaluation, extras, learning, reads, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = (reads, evaluation, learning, streams)
+_modules = (reads, evaluation, learning, streams, extras)
 
 
 def queries() -> dict[str, Query]:
