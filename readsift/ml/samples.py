@@ -31,7 +31,7 @@ def sample_taxon_ablation(cells: DataFrame, block: Sequence[str] = BREADTH, base
     if seen < least:
         return None
     c = cells.withColumn("read_id", F.concat_ws("|", "donor", "titration_level", "species")).withColumn("y", F.col("y").cast("double"))
-    c = c.withColumn("reads_above_thr_per_million", F.col("reads_above_thr_per_million") / 1e6).coalesce(1).persist()  # cells, not reads; each fold reads them
+    c = c.withColumn("reads_above_thr_per_million", F.col("reads_above_thr_per_million") / 1e6).persist()  # cells, not reads; each fold reads them
     parts = []
     for arm, names in (("sxt_full", [*base, *block]), (f"sxt_minus_{block[0]}", list(base))):
         scores = models.out_of_fold(c, names, models.glmm(())).where("score is not null")
