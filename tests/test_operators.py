@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from readsift.functions import names, sequence
 from readsift.ml import models
-from readsift.operators import compare, cutoffs, features, folds, intervals, labels, ranking, samples, topk
+from readsift.operators import compare, cutoffs, features, folds, intervals, labels, library, ranking, samples, topk
 from readsift.sources import text
 from readsift.stats import tests as st
 
@@ -55,6 +55,26 @@ def test_three_classes(spark):
     assert dict(rows(got)) == {"pos": "positive", "human": "negative", "tie": "negative", "lowid": "negative", "lowcov": "negative", "amb": "ambiguous", "none": "negative"}
 
 
+def test_label_library(spark, tmp_path):
+    """Files to labels and features: the label set of FIXTURES.md, read ids with a tail, a read in no list."""
+    target = [paf("r_positive x=1"), paf("r_human"), paf("r_tie"), paf("r_lowid", m=80, bl=100), paf("r_lowcov", qend=50, m=48, bl=50), paf("r_ambiguous", ts=1000, te=1095), paf("r_only", tags=("a", "b", "c"))]
+    host_a = [paf("r_positive", t="h", m=20), paf("r_human", t="h", m=100), paf("r_tie", t="h"), paf("r_ambiguous", t="h", m=10), paf("r_host", t="h", m=50)]
+    host_b = [paf("r_human", t="h", m=105), paf("r_late", t="h", m=60)]
+    z, a, b = (text.read_paf(spark, write(tmp_path / n, x)) for n, x in (("z.paf", target), ("a.paf", host_a), ("b.paf", host_b)))
+    regions = text.read_bed(spark, write(tmp_path / "m.bed", ["zc1\t1000\t1100"]))
+    reads = spark.createDataFrame([(f"r_{x}",) for x in ("positive", "human", "tie", "lowid", "lowcov", "ambiguous", "none")], "read_id string")
+    lookup = spark.createDataFrame([("zc1", "Sp one")], "contig string, species string")
+    got = {r.read_id: r for r in library.label_library(z, [a, b], reads, regions, lookup).collect()}
+    assert {k: r.label for k, r in got.items()} == {f"r_{k}": v for k, v in {"positive": "positive", "human": "negative", "tie": "negative", "lowid": "negative", "lowcov": "negative", "ambiguous": "ambiguous", "none": "negative"}.items()}
+    assert (got["r_human"].human_score, got["r_none"].zymo_score, got["r_none"].species, got["r_tie"].species) == (105, 0, None, "Sp one")
+    free = library.label_library(z, [a, b])
+    seen = {r.read_id: (r.label, r.species) for r in free.collect()}
+    assert seen["r_ambiguous"] == ("positive", "zc1") and seen["r_only"] == ("positive", "zc1") and seen["r_host"] == ("negative", None)
+    assert "r_late" not in seen and len(seen) == 8
+    full = library.library_features(free, [features.competitor_features(b), None])
+    assert {r.read_id: r.human_bitscore for r in full.collect()}["r_human"] == 105 and full.count() == 8
+
+
 def test_poisson_and_leakage(spark):
     ab = spark.createDataFrame([("high", 0.5), ("low", 0.0001)], "species string, rel_abundance double")
     d = spark.createDataFrame([("a", "high", 10.0, "positive"), ("b", "low", 10.0, "positive"), ("c", None, 10.0, "negative")], "read_id string, species string, concentration double, label string")
