@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, sequence, tokens
-from ..operators import cutoffs, features, intervals, labels, topk
+from ..operators import cutoffs, features, intervals, labels, library, topk
 from ..session import spread, table
 from .bridge import CELLS, HITS_SQL, LEVELS, TIES, labels_sql, line_hits
 from .bridge import labels as order_labels
@@ -79,6 +79,34 @@ def three_class_label(spark, d):
     return order_labels(spark, d).select("read_id", R("identity").alias("identity"), R("coverage").alias("coverage"), "target", "host", "label")
 
 
+@query("""WITH a AS (
+  SELECT 'o' || l_orderkey AS read_id, l_returnflag AS reference, 1 - l_discount AS identity, l_quantity / 50.0::DOUBLE AS coverage, l_extendedprice AS score,
+         'c' || (l_partkey % 20) || '_' || (l_suppkey % 3) AS tname, l_partkey % 1000 AS tstart, l_partkey % 1000 + l_quantity::BIGINT AS tend,
+         l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount FROM lineitem),
+b AS (SELECT * FROM a WHERE reference = 'N' QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) = 1),
+h AS (SELECT read_id, max(score) AS human_score FROM a WHERE reference <> 'N' GROUP BY 1),
+m AS (SELECT 'c' || (s_suppkey % 20) || '_' || (s_suppkey % 3) AS tname, s_suppkey * 7 % 1000 AS s, s_suppkey * 7 % 1000 + 2 AS e FROM supplier),
+r AS (SELECT read_id FROM b WHERE EXISTS (SELECT 1 FROM m WHERE m.tname = b.tname AND tstart <= e AND tend >= s))
+SELECT 'o' || o_orderkey AS read_id, coalesce(score, 0) AS zymo_score, coalesce(human_score, 0) AS human_score, split_part(tname, '_', 1) AS species,
+       CASE WHEN r.read_id IS NOT NULL THEN 'ambiguous'
+            WHEN identity >= 0.93::DOUBLE AND coverage >= 0.5::DOUBLE AND score > coalesce(human_score, 0) THEN 'positive' ELSE 'negative' END AS label
+FROM orders LEFT JOIN b ON 'o' || o_orderkey = b.read_id LEFT JOIN h ON 'o' || o_orderkey = h.read_id LEFT JOIN r ON 'o' || o_orderkey = r.read_id""")
+def library_labels(spark, d):
+    contig = lambda a, b: F.concat(F.lit("c"), F.col(a) % 20, F.lit("_"), F.col(b) % 3)
+    a = table(spark, d, "lineitem").select(
+        F.concat(F.lit("o"), "l_orderkey", F.lit(" tail")).alias("qname"), F.col("l_returnflag").alias("reference"), (1 - F.col("l_discount")).alias("identity"),
+        (F.col("l_quantity") / 50.0).alias("coverage"), F.col("l_extendedprice").alias("score"), contig("l_partkey", "l_suppkey").alias("tname"),
+        (F.col("l_partkey") % 1000).alias("tstart"), (F.col("l_partkey") % 1000 + F.col("l_quantity").cast("long")).alias("tend"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount").alias("_ord"),
+    )
+    at = F.col("s_suppkey") * 7 % 1000
+    regions = table(spark, d, "supplier").select(contig("s_suppkey", "s_suppkey").alias("tname"), at.alias("start"), (at + 2).alias("end"))
+    reads = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("read_id"))
+    of = lambda x: a.where(F.col("reference") == x)
+    out = library.label_library(of("N"), [of("A"), of("R")], reads, regions, min_identity=0.93, min_coverage=0.5)
+    return out.select("read_id", "zymo_score", "human_score", "species", "label")
+
+
 _FLOOR = f"""{HITS_SQL}, {labels_sql()},
 ab AS (SELECT p_brand AS species, count(*) / (SELECT count(*) FROM part)::DOUBLE / 1e6::DOUBLE AS rel_abundance FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1),
 cells(o_orderpriority, titration_level, concentration) AS (VALUES {", ".join(f"('{p}', '{l}', {CELLS[l]}::DOUBLE)" for p, l in LEVELS.items())}),
