@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from readsift.llm import decontamination, mixing, sharding, simhash, toxicity
+from readsift.llm import decontamination, mixing, near_copies, sharding, toxicity
 from readsift.llm.common import cut, table
 
 
@@ -29,10 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
-    near = simhash.near_duplicates(docs)
-    stay = near.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi")
+    """The document with the smallest id of each group linked by 5-word Jaccard similarity of 0.8 or more."""
+    kept = docs.join(near_copies.first_ids(docs), "doc_id", "left_semi")
     once = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__row = 1")
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
