@@ -4,7 +4,9 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 again as the next stage's docs. All but the last return the columns of ``docs``, whatever they are:
 extra columns pass through unread. Order: toxic documents go; one document of each group of near
 copies stays; documents that hold a benchmark item go; the rest is put in the order of the source
-mixture (rows sorted by the mixture's schedule, none dropped); documents are dealt to shards.
+mixture (rows sorted by the mixture's schedule, none dropped); documents are dealt to shards, whose
+slots follow that schedule. Read slot by slot over all shards, the corpus holds the target shares
+until a source runs out.
 
 Defined results: rows with a null text pass the filters, as no text convicts them; in the near
 copy stage rows with a null id stay, and of rows that repeat an id one stays; an empty table gives
@@ -42,17 +44,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.size("__hits") == 0).select(*docs.columns)
 
 
+def places(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, at): the place in the mixture, the first one of rows that repeat both."""
+    return mixing.mix_sources(docs).groupBy("doc_id", "source").agg(F.min(F.struct("slot", "row_in_block")).alias("at"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, sorted by their place in the mixture."""
-    m = mixing.mix_sources(docs)
-    at = m.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.min(F.struct("slot", "row_in_block")).alias("__at"))
+    at = places(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("at").alias("__at"))
     placed = docs.join(at, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")), "left")
     return placed.repartitionByRange("__at").sortWithinPartitions("__at").select(*docs.columns)
 
 
 def deal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and slot."""
-    out = sharding.shard(docs)
+    """Each document's shard, and its slot there in the order of the mixture.
+
+    Places depend on the documents' ids and sources alone, so they are computed again: the order of
+    the files that ``mix`` wrote is no contract of a reader.
+    """
+    out = sharding.shard(docs, places=places(docs))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
