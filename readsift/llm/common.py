@@ -23,10 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, taken: Sequence[str]) -> str:
+    """``name``, with as many underscores before it as keep it apart from ``taken`` (case does not count)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; set to a local one only when the session names none (tests)."""
+    """The folder all executors share; set to a local one only for a local master that names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='readsift-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -111,3 +121,20 @@ def skewed_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total:
     hot = F.broadcast(right.where(F.col(rows) > at))
     cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(rows) <= at), key)
     return left.join(hot, key).unionByName(cold)
+
+
+def even_lookup(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join on ``key`` (null-safe), where ``right`` has one row a key and any key may hold any part of ``left``.
+
+    Keys with more than ``1/share`` of ``left``'s rows are fewer than ``share``, so their rows of
+    ``right`` are broadcast; the rest are joined by a shuffle in which no key is hot. ``left`` is
+    read twice and counted, so it should be a table.
+    """
+    k = free("__key", [*left.columns, *right.columns])
+    n = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = cut(n.where(F.col("n") > max(1000, left.count() // share)).select(F.col(key).alias(k)), "hot")
+    of = right.withColumnRenamed(key, k)
+    found = hot.join(of.withColumnRenamed(k, f"{k}r"), F.col(k).eqNullSafe(F.col(f"{k}r")), "left").drop(f"{k}r")
+    same = left[key].eqNullSafe(F.col(k))
+    cold = left.join(F.broadcast(hot), same, "left_anti").join(of, same, "left")
+    return left.join(F.broadcast(found), same).drop(k).unionByName(cold.drop(k))

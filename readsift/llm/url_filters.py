@@ -3,31 +3,36 @@
 Rules decide first: a rule ``host/path`` fits its host and all subdomains where the url's path
 starts with the rule's path; the longest fitting rule wins. Other urls get the method's verdict:
 
-1. Host names are split at dots and hyphens; a unigram Viterbi splits each part into words. The
-   unigram counts come from all pages: parts seen on two hosts or more, and the lexicon.
+1. Host labels are split at hyphens, and each piece by a unigram Viterbi into words. The unigrams
+   are counted over all pages from what is already apart: the words of the pages' text, the words
+   of paths, and the pieces of hyphenated labels, each distinct label once. A label that is one
+   piece is no word by itself, so a concatenation on many hosts is still split. The seeds are words.
 2. A multinomial naive Bayes with add-one smoothing scores the words of host and path. It is
-   trained on all pages: those whose host has a lexicon word count as blocked, the others as
-   allowed, so words that keep company with lexicon words count as well.
+   trained on all pages: a page that a rule decides has the rule's verdict; of the others those
+   whose host has a seed count as blocked and the rest as allowed. The seeds only mark examples:
+   what decides is the score, so words that keep company with blocked pages block pages without a
+   seed, and a seed that rules mostly allow does not block.
 
-Counts cover all pages. The model keeps the ``vocabulary`` most frequent words, a few MB to
-broadcast; rarer words score as unseen. Hosts are segmented once each, and joined back salted.
+Words and their counts are tables of any size: the substrings of distinct pieces are joined to the
+unigrams, and the words of distinct urls to their log odds. Keys with many rows are joined by a
+broadcast of fewer than a thousand of them. A piece has at most 63 letters, as names do; what is
+longer is no name and stays whole.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule and the verdict
-of a page without words; repeated rows are judged each; an empty table gives an empty result;
-columns beside id and url are ignored.
+of a page without words; repeated rows are judged each; null texts have no words; an empty table
+gives an empty result; columns beside id, url and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, salted_lookup, table
+from .common import cut, even_lookup, table
 
 #: (verdict, rule), fixed by the contract of the query.
 RULES = (
@@ -38,18 +43,12 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: Words that mark a host as unwanted.
-LEXICON = (
-    "adult", "ads", "bet", "bets", "casino", "cheap", "clickbait", "escort", "farm", "free", "gamble", "loan", "loans", "lottery",
-    "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "xxx",
-)
-
-
-@dataclass(frozen=True)
-class Settings:
-    vocabulary: int = 50_000
-    longest_word: int = 24
-    min_hosts: int = 2
+#: Words of unwanted hosts that mark training examples, one or two a topic.
+SEEDS = ("ads", "bets", "casino", "escort", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx")
+#: Letters of a host label (RFC 1035).
+LABEL = 63
+_LETTERS = r"\p{L}+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -57,106 +56,124 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     rest = F.coalesce(rest, F.lit(""))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), upper, upper.lower())
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), _UPPER, _UPPER.lower())
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest fitting rule, null without one; the first of equal lengths."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, r in sorted(rules, key=lambda x: len(x[1])):  # the longest is asked last and so decides
+    for v, r in sorted(reversed(rules), key=lambda x: len(x[1])):  # the longest is asked last and so decides
         h, p = r.split("/", 1)
         fits = ((host == h) | host.endswith("." + h)) & path.startswith("/" + p)
         name, verdict = F.when(fits, F.lit(r)).otherwise(name), F.when(fits, F.lit(v)).otherwise(verdict)
     return name, verdict
 
 
-class Segmenter:
-    """Unigram Viterbi over word counts; unknown words cost more with each letter."""
-
-    def __init__(self, counts: Mapping[str, int], longest: int = Settings.longest_word):
-        total = sum(counts.values()) or 1
-        self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.unknown, self.longest = math.log(total) + 1.0, longest
-
-    def split(self, part: str) -> list[str]:
-        best, back = [0.0], [0]
-        for end in range(1, len(part) + 1):
-            options = []
-            for start in range(max(0, end - self.longest), end):
-                w = part[start:end]
-                c = self.cost.get(w)
-                options.append((best[start] + (self.unknown + 2.3 * len(w) if c is None else c), -start))
-            c, s = min(options)
-            best.append(c)
-            back.append(-s)
-        out, end = [], len(part)
-        while end:
-            out.append(part[back[end] : end])
-            end = back[end]
-        return out[::-1]
-
-    def words(self, host: str) -> list[str]:
-        return [w for p in host.replace("-", ".").split(".") if p for w in self.split(p)]
-
-
-def host_words(hosts: DataFrame, lexicon: Sequence[str] = LEXICON, s: Settings = Settings()) -> DataFrame:
-    """(host, words) for each of the distinct ``hosts`` (host, n)."""
-    spark = hosts.sparkSession
-    part = hosts.select("host", "n", F.explode(F.filter(F.split("host", r"[.-]"), lambda x: x != "")).alias("part"))
-    # Each host counts a part by the log of its pages, so that one large host does not set the counts.
-    counts = part.groupBy("part").agg(F.count(F.lit(1)).alias("hosts"), F.sum(1 + F.floor(F.log2("n"))).cast("long").alias("n"))
-    top = counts.where(F.col("hosts") >= s.min_hosts).orderBy(F.desc("n"), "part").limit(s.vocabulary).collect()
-    unigrams = {r.part: r.n for r in top}
-    typical = sorted(unigrams.values())[len(unigrams) // 2] if unigrams else 1
-    held = spark.sparkContext.broadcast(Segmenter({**{w: typical for w in lexicon}, **unigrams}, s.longest_word))
+def segment(piece: str, known: Mapping[str, int], total: int) -> list[str]:
+    """The words of the cheapest split: a known word costs -ln of its share, an unknown one more than
+    the rarest known and more with each letter. Of equal costs the one with the longer last words."""
+    unknown = math.log(max(total, 1)) + 1.0
+    best, back = [0.0], [0]
+    for end in range(1, len(piece) + 1):
+        options = []
+        for start in range(end):
+            n = known.get(piece[start:end])
+            options.append((best[start] + (unknown + math.log(10) * (end - start) if n is None else math.log(total / n)), start))
+        c, s = min(options)
+        best.append(c)
+        back.append(s)
+    out, end = [], len(piece)
+    while end:
+        out.append(piece[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def pieces(host: Column) -> Column:
+    return F.filter(F.split(host, r"[.-]"), lambda x: x != "")
+
+
+def page_words(text: Column) -> Column:
+    """The words of a page's text, without scripts, styles, tags and entities."""
+    bare = F.regexp_replace(F.lower(text), r"(?s)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>|&#?\w+;", " ")
+    return F.regexp_extract_all(bare, F.lit(_LETTERS), 0)
+
+
+def path_words(path: Column) -> Column:
+    """The words of a path, and # if it has digits."""
+    low = F.lower(path)
+    digits = F.when(low.rlike("[0-9]"), F.array(F.lit("#"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.regexp_extract_all(low, F.lit(_LETTERS), 0), digits)
+
+
+def unigrams(urls: DataFrame, texts: DataFrame | None, seeds: Sequence[str] = SEEDS) -> DataFrame:
+    """(w, n) over all pages, from ``urls`` (host, path) and ``texts`` (text); seeds count one more."""
+    spark = urls.sparkSession
+    labels = urls.select("host").distinct().select(F.explode(F.split("host", r"\.")).alias("label")).distinct()
+    apart = labels.where(F.size(pieces(F.col("label"))) > 1).select(F.explode(pieces(F.col("label"))).alias("w"))
+    w = apart.unionByName(urls.select(F.explode(F.regexp_extract_all(F.lower("path"), F.lit(_LETTERS), 0)).alias("w")))
+    if texts is not None:
+        w = w.unionByName(texts.select(F.explode(page_words(F.col("text"))).alias("w")))
+    w = w.unionByName(spark.createDataFrame([(x,) for x in seeds], "w string"))
+    # Single letters would take any name apart.
+    return w.where(F.length("w").between(2, LABEL)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, words) for each of the distinct ``hosts`` (host), with the unigrams ``words`` (w, n)."""
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    of = cut(hosts.select("host", F.posexplode(pieces(F.col("host"))).alias("at", "piece")), "pieces")
+    distinct = of.select("piece").distinct()
+    size = F.length("piece")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.transform(F.sequence(F.lit(2), size - i + 1), lambda k: F.substr("piece", i, k))))
+    parts = distinct.where(size.between(2, LABEL)).select("piece", F.explode(F.array_distinct(spans)).alias("w"))
+    found = even_lookup(cut(parts, "substrings"), words, "w").where("n is not null")
+    # At most as many as a piece has substrings.
+    mine = found.groupBy("piece").agg(F.collect_list(F.struct("w", "n")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [held.value.words(h) for h in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "words"])
+            out = [segment(p, {x["w"]: x["n"] for x in k or ()}, total) if len(p) <= LABEL else [p] for p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["piece", "words"])
 
-    return hosts.select("host").mapInArrow(run, "host string, words array<string>")
+    split = cut(distinct.join(mine, "piece", "left").select("piece", "known").mapInArrow(run, "piece string, words array<string>"), "split")
+    placed = even_lookup(of, split, "piece").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("x"))
+    return placed.select("host", F.flatten(F.transform("x", lambda x: x["words"])).alias("words"))
 
 
-def log_odds(pages: DataFrame, s: Settings = Settings()) -> tuple[float, float, dict[str, float]]:
-    """(prior, unseen, word -> log odds of block) from (words, bad) rows."""
-    n, bad = pages.agg(F.count(F.lit(1)), F.sum("bad")).first()
-    t = pages.select(F.explode("words").alias("w"), "bad").groupBy("w").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("a"))
-    t = cut(t, "words")
-    kinds, all_b, all_a = t.agg(F.count(F.lit(1)), F.sum("b"), F.sum("a")).first()
-    if not kinds:
-        return math.log(((bad or 0) + 1) / (n - (bad or 0) + 1)), 0.0, {}
-    shift = math.log((all_a + kinds) / (all_b + kinds))
-    top = t.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(s.vocabulary).collect()
-    return math.log((bad + 1) / (n - bad + 1)), shift, {r.w: math.log((r.b + 1) / (r.a + 1)) + shift for r in top}
+def log_odds(counts: DataFrame, pages: int, blocked: int) -> tuple[float, DataFrame]:
+    """The prior and (w, odds), log odds of block, from (w, b, a): the word's uses on blocked and allowed pages."""
+    kinds, b, a = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
+    shift = math.log((a + kinds) / (b + kinds)) if kinds else 0.0
+    return math.log((blocked + 1) / (pages - blocked + 1)), counts.select("w", (F.log((F.col("b") + 1) / (F.col("a") + 1)) + shift).alias("odds"))
 
 
-def judge(pages: DataFrame, id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES, lexicon: Sequence[str] = LEXICON, s: Settings = Settings()) -> DataFrame:
+def judge(pages: DataFrame, id: str = "page_id", url: str = "url", text: str | None = "html", rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict, words, score (log odds of block) for every row."""
-    spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
-    p = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    p = cut(p, "urls")
-    names = cut(host_words(cut(p.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts"), lexicon, s), "names")
-    known = F.array(*[F.lit(w) for w in lexicon])
-    low = F.lower("path")
-    tokens = F.concat(F.coalesce("words", F.array().cast("array<string>")), F.regexp_extract_all(low, F.lit("[a-z]+"), 0), F.when(low.rlike("[0-9]"), F.array(F.lit("#"))).otherwise(F.array().cast("array<string>")))
-    seen = salted_lookup(p, names, "host", "page_id").select("page_id", "host", "path", tokens.alias("words"), F.coalesce(F.arrays_overlap("words", known), F.lit(False)).cast("long").alias("bad"))
-    seen = cut(seen, "tokens")
-    held = spark.sparkContext.broadcast(log_odds(seen, s))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prior, unseen, odds = held.value
-        for b in batches:
-            score = [prior + sum(odds.get(w, unseen) for w in ws) for ws in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, "score"])
-
-    out = seen.select("page_id", "host", "path", "words").mapInArrow(run, "page_id long, host string, path string, words array<string>, score double")
+    p = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"))
+    p = cut(p.select("page_id", F.struct(host.alias("host"), path.alias("path")).alias("k")), "urls")
+    u = cut(p.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select("k.*", "n"), "distinct")
+    w = cut(unigrams(u, None if text is None else pages.select(F.col(text).alias("text")), seeds), "unigrams")
+    names = cut(host_words(u.select("host").distinct(), w), "names")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    none = F.array().cast("array<string>")
+    of_host = F.coalesce("words", none)
+    seeded = F.arrays_overlap(of_host, F.array(*[F.lit(x) for x in seeds]).cast("array<string>"))
+    bad = F.coalesce(verdict == "block", seeded, F.lit(False)).cast("long")
+    seen = even_lookup(u, names, "host").select("host", "path", "n", rule.alias("rule"), verdict.alias("verdict"), of_host.alias("words"), F.concat(of_host, path_words(F.col("path"))).alias("all"), bad.alias("bad"))
+    seen = cut(seen, "seen")
+    uses = cut(seen.select("host", "path", "n", "bad", F.explode("all").alias("w")), "uses")
+    counts = cut(uses.groupBy("w").agg(F.sum(F.col("n") * F.col("bad")).alias("b"), F.sum(F.col("n") * (1 - F.col("bad"))).alias("a")), "counts")
+    n, blocked = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("bad")), F.lit(0))).first()
+    prior, odds = log_odds(counts, n, blocked)
+    sums = even_lookup(uses.select("host", "path", "w"), odds, "w").groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    score = F.round(F.lit(prior) + F.coalesce("odds", F.lit(0.0)), 9)
+    judged = seen.join(sums, ["host", "path"], "left").select(F.struct("host", "path").alias("k"), "rule", "verdict", "words", score.alias("score"))
+    out = even_lookup(p, cut(judged, "judged"), "k")
     by_score = F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_score).alias("verdict"), "words", "score")
+    return out.select("page_id", F.col("k.host").alias("host"), F.col("k.path").alias("path"), "rule", F.coalesce("verdict", by_score).alias("verdict"), "words", "score")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
