@@ -3,12 +3,12 @@
 Documents with equal texts form a group that must stay together. Groups, sorted by size from the
 largest, go to the least-loaded shard through a heap.
 
-Only sizes decide, so the schedule is made from a histogram: one entry a group size, sizes from
-2^``BITS`` on held to that many leading bits (never more than about 2 million entries, whatever the
-corpus; a class's mean size then stands for its groups, off by less than 1 in 2^16). A run of equal
-sizes is dealt by levelling the loads and then through the heap, which gives the heap's own result
-without a step for each group. Groups take their place in the run from a distributed rank, and
-documents take their slot from another, so no task holds a shard or a size.
+Only sizes decide, so the schedule is made from a histogram with one entry a group size. The driver
+holds that histogram and the schedule: different sizes of ``B`` bytes in all are fewer than
+sqrt(2 B), 14 million at 100 TB, and a size's groups change shards at most ``shards`` times. A run of
+equal sizes is dealt by levelling the loads and then through the heap, which gives the heap's own
+result without a step for each group. Groups take their place in the run from a distributed rank,
+and documents take their slot from another, so no task holds a shard or a size.
 
 Defined results: a null text counts as empty and shares the empty text's group; repeated rows are
 placed each; an empty table gives an empty result; other columns are ignored. Groups are told
@@ -18,71 +18,66 @@ apart by 128 bits of SHA-256. A group larger than the mean shard makes its shard
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ranked, skewed_lookup, table
+from .common import cut, even_lookup, ranked, skewed_lookup, table
 
 SHARDS = 40
 OVERHEAD = 16
-BITS = 17
 
 
-def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple[list[int], list[int]]]:
+def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """LPT over runs of equal sizes, ``sizes`` descending.
 
-    For each run: the ranks at which the shard changes (ends, ascending) and the shards.
+    (edges, ends, to): run r is dealt by entries edges[r] to edges[r + 1], which hold the ranks at
+    which the shard changes (ends, ascending) and the shards.
     """
-    heap = [(0.0, s) for s in range(shards)]
-    out = []
+    heap = [(0, s) for s in range(shards)]
+    edges, ends, to = array("q", [0]), array("q"), array("i")
     for size, k in zip(sizes.tolist(), counts.tolist()):
         got: dict[int, int] = {}
         if k > 4 * shards and size > 0:  # level most of the run at once
-            load = np.zeros(shards)
+            load = np.zeros(shards, np.int64)
             for x, s in heap:
                 load[s] = x
             order = np.sort(load)
             # The level that k - shards items would fill the lowest shards up to.
             filled = np.arange(1, shards + 1) * order - np.cumsum(order)
             use = int(np.searchsorted(filled, (k - shards) * size, "right"))
-            level = (order[:use].sum() + (k - shards) * size) / use
-            n = np.maximum(np.floor((level - load) / size), 0).astype(int)
+            level = (int(order[:use].sum()) + (k - shards) * size) // use
+            n = np.maximum((level - load) // size, 0)
             got = {s: int(c) for s, c in enumerate(n) if c}
             k -= int(n.sum())
-            heap = [(load[s] + n[s] * size, s) for s in range(shards)]
+            heap = [(int(load[s] + n[s] * size), s) for s in range(shards)]
             heapq.heapify(heap)
         for _ in range(k):
             x, s = heap[0]
             heapq.heapreplace(heap, (x + size, s))
             got[s] = got.get(s, 0) + 1
-        ends, at = [], 0
+        at = 0
         for s in sorted(got):
             at += got[s]
             ends.append(at)
-        out.append((ends, sorted(got)))
-    return out
-
-
-def _class(size):
-    """Sizes below 2^BITS as they are, larger ones by their leading BITS bits."""
-    drop = F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))) - (BITS - 1), F.lit(0)).cast("int")
-    return F.when(size < (1 << BITS), size).otherwise((F.floor(size / F.pow(F.lit(2.0), drop)) * F.pow(F.lit(2.0), drop)).cast("long"))
+            to.append(s)
+        edges.append(len(ends))
+    return np.array(edges, np.int64), np.array(ends, np.int64), np.array(to, np.int32)
 
 
 def place_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Add ``shard`` to (g, bytes, ...), one row a group."""
-    spark = groups.sparkSession
-    g = groups.withColumn("class", _class(F.col("bytes"))).withColumn("__neg", -F.col("bytes"))
-    hist = g.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.avg("bytes").alias("mean")).toPandas().sort_values("class", ascending=False)
-    plan = schedule(hist["mean"].to_numpy(float), hist["k"].to_numpy(int), shards)
-    rows = pd.DataFrame({"class": hist["class"].to_numpy(np.int64), "ends": [e for e, _ in plan], "to": [s for _, s in plan]})
-    plan_df = spark.createDataFrame(rows, "class long, ends array<long>, to array<int>")
-    r = ranked(g, ["__neg", "g"], "rank", within=["class"], tag="groups")
-    r = r.join(plan_df, "class")
-    return r.withColumn("shard", F.element_at("to", F.size(F.filter("ends", lambda e: e <= F.col("rank"))) + 1)).drop("class", "ends", "to", "rank", "__neg")
+    hist = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("k")).toArrow().sort_by([("bytes", "descending")])
+    edges, ends, to = schedule(hist["bytes"].to_numpy(), hist["k"].to_numpy(), shards)
+    edges = pa.array(edges, pa.int32())
+    plan = pa.table({"bytes": hist["bytes"].combine_chunks(), "ends": pa.ListArray.from_arrays(edges, pa.array(ends)), "to": pa.ListArray.from_arrays(edges, pa.array(to))})
+    of = groups.sparkSession.createDataFrame(plan, "bytes long, ends array<long>, to array<int>")
+    # Many groups may have one size, so the join spreads hot sizes.
+    r = even_lookup(cut(ranked(groups, ["g"], "rank", within=["bytes"], tag="groups"), "ranks"), of, "bytes")
+    return r.withColumn("shard", F.element_at("to", F.size(F.filter("ends", lambda e: e <= F.col("rank"))) + 1)).drop("ends", "to", "rank")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text", source: str = "source", places: DataFrame | None = None) -> DataFrame:

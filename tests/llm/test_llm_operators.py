@@ -206,7 +206,9 @@ def test_schedule_is_the_heaps():
         sizes, shards = np.sort(rng.choice(5000, rng.integers(1, 40), replace=False) + 1)[::-1], int(rng.integers(2, 41))
         counts = rng.integers(1, 1200, len(sizes))
         load, heap = np.zeros(shards), [0.0] * shards
-        for s, k, (ends, to) in zip(sizes, counts, sharding.schedule(sizes.astype(float), counts, shards)):
+        edges, all_ends, all_to = sharding.schedule(sizes, counts, shards)
+        for i, (s, k) in enumerate(zip(sizes, counts)):
+            ends, to = all_ends[edges[i] : edges[i + 1]], all_to[edges[i] : edges[i + 1]]
             assert ends[-1] == k
             load[to] += np.diff([0, *ends]) * s
             for _ in range(k):
@@ -235,6 +237,24 @@ def test_sharding(spark):
     assert sharding.shard(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_sharding_query_is_the_heaps_to_the_byte(spark, tmp_path):
+    """Large groups of different sizes are dealt by their exact sizes."""
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.randrange(200_000, 900_000) if i < 60 else f"text {i % 900}") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op5_lpt_sharding(spark, str(tmp_path)).collect()
+    sizes = {}
+    for _, t in rows:
+        sizes[t] = sizes.get(t, 0) + len(t) + 16
+    heap = [0] * 40
+    for x in sorted(sizes.values(), reverse=True):
+        heapq.heapreplace(heap, heap[0] + x)
+    loads = {}
+    for r in out:
+        loads[r.shard] = loads.get(r.shard, 0) + r["size"]
+    assert sorted(loads.values()) == sorted(heap) and {r.law for r in out} == {"bytes"} and {r.grown_shard for r in out} == {None}
+
+
 def test_mixing(spark):
     rows = [(i, "t", None if i % 17 == 0 else "abcde"[min(4, int(i**0.5) % 7)]) for i in range(900)] + [(5, "t", "a")]
     m = mixing.mix_sources(docs(spark, rows), mix=mixing.Mix(block_rows=4, resolution=50)).collect()
