@@ -221,18 +221,18 @@ def train(docs: DataFrame, labels: DataFrame, s: Sample = SAMPLE, id: str = "doc
     return Model(words, [fit(x[is_p], x[is_u], prior, hidden, seed) for hidden, seed in ((0, 11), (16, 12))])
 
 
-def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row, and ``__score``."""
+def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text", out: str = "__score") -> DataFrame:
+    """``columns`` of every row, and the score as ``out``."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     d = docs.select(*columns, *([] if text in columns else [text]))
-    schema = docs.select(*columns, F.lit(0.0).alias("__score")).schema
+    schema = docs.select(*columns, F.lit(0.0).alias(out)).schema
     at, n = d.columns.index(text), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = held.value.score(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out)], schema.fieldNames())
+            scores = held.value.score(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(scores)], schema.fieldNames())
 
     return d.mapInArrow(run, schema)
 

@@ -8,11 +8,13 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from readsift.llm import catalogue, decontamination, simhash
+from readsift.llm import catalogue, decontamination, near_copies
 from readsift.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents pages benchmark labels".split()
+#: Extra columns with names that the stages might use themselves.
+CLASHING = "slot shard hits _hits __hits __score score __row __at at __id __source __text _text block g fp component_id".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -30,7 +32,7 @@ def test_against_sql(spark, name):
 
 
 def test_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'x' as slot", "1 as shard")  # clashing extra columns
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *(f"'x' as {c}" for c in CLASHING))
     before = {r.doc_id: r for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
         cols = docs.columns
@@ -43,9 +45,11 @@ def test_stages(spark):
         if name == "toxicity":
             assert gone and len(gone) < 0.2 * len(before)
         elif name == "simhash_near_dedup":
-            fp = {i: simhash.fingerprint(r.text.encode()) for i, r in before.items()}
-            low = {i: i for i in fp}
-            while (new := {i: min(low[j] for j in fp if (fp[i] ^ fp[j]).bit_count() <= 3) for i in fp}) != low:
+            sets = {i: set(near_copies.shingles(near_copies.words(r.text.encode())).tolist()) for i, r in before.items()}
+            alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+            near = {i: [j for j in sets if alike(sets[i], sets[j])] for i in sets}
+            low = {i: i for i in sets}
+            while (new := {i: min(low[j] for j in near[i]) for i in sets}) != low:
                 low = new
             assert set(after) == {i for i in low if low[i] == i}
         elif name == "benchmark_decontamination":
@@ -68,6 +72,15 @@ def test_stages_on_nothing_and_nulls(spark):
         assert d.count() == n
 
 
+def test_texts_that_share_an_id(spark):
+    """Rows that repeat an id and text are one; another text of the id is not lost."""
+    rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "de", "s", 1), (1, "u v w x y z", "en", "s", 2), (2, "a b c d e f", "en", "s", 3), (3, "other words", "en", "s", 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _ in range(3):
+        got = sorted((r.doc_id, r.text, r.lang) for r in corpus_pipeline.drop_near_copies(spark, d.repartition(3), SF).collect())
+        assert got[1:] == [(1, "u v w x y z", "en"), (3, "other words", "en")] and got[0][:2] == (1, "a b c d e f") and got[0][2] == min(("en", "de"))
+
+
 def test_run_needs_no_collect_of_documents():
     source = open(corpus_pipeline.__file__).read()
     assert not re.search(r"\.(collect|toPandas|toLocalIterator)\(", source)
