@@ -9,8 +9,9 @@ slots follow that schedule. Read slot by slot over all shards, the corpus holds
 until a source runs out.
 
 Defined results: rows with a null text pass the filters, as no text convicts them; in the near
-copy stage rows with a null id stay, and of rows that repeat an id one stays; an empty table gives
-an empty result.
+copy stage rows with a null id stay, of rows that repeat an id and text one stays, and rows that
+share an id but not a text are one document with several texts, all of which stay or go; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,28 +21,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readsift.llm import decontamination, mixing, near_copies, sharding, toxicity
-from readsift.llm.common import cut, table
+from readsift.llm.common import cut, free, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the toxicity threshold."""
+    score = free("score", docs.columns)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, docs.columns)
-    return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.score(docs, model, docs.columns, out=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by 5-word Jaccard similarity of 0.8 or more."""
+    """The document with the smallest id of each group of near copies (5-word shingles, similarity 0.8 or more)."""
     kept = docs.join(near_copies.first_ids(docs), "doc_id", "left_semi")
-    once = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__row = 1")
+    row = free("row", docs.columns)
+    # Of rows that repeat an id and text the first by the other columns stays; maps have no order and do not decide.
+    order = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]
+    same = Window.partitionBy("doc_id", "text").orderBy(*order, "doc_id")
+    once = kept.withColumn(row, F.row_number().over(same)).where(F.col(row) == 1)
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    hits = free("hits", docs.columns)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text")
-    found = decontamination.matches(docs, items, docs.columns)
-    return found.where(F.size("__hits") == 0).select(*docs.columns)
+    found = decontamination.matches(docs, items, docs.columns, hits=hits)
+    return found.where(F.size(hits) == 0).select(*docs.columns)
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -51,9 +58,10 @@ def places(docs: DataFrame) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, sorted by their place in the mixture."""
-    at = places(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("at").alias("__at"))
-    placed = docs.join(at, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")), "left")
-    return placed.repartitionByRange("__at").sortWithinPartitions("__at").select(*docs.columns)
+    i, s, at = (free(n, docs.columns) for n in ("id_", "source_", "at"))
+    of = places(docs).select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("at").alias(at))
+    placed = docs.join(of, docs["doc_id"].eqNullSafe(F.col(i)) & docs["source"].eqNullSafe(F.col(s)), "left")
+    return placed.repartitionByRange(at).sortWithinPartitions(at).select(*docs.columns)
 
 
 def deal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
