@@ -1,4 +1,4 @@
-"""Helpers of the training-data operators: shared folder, lineage cuts, distributed ranks, salted joins.
+"""Helpers of the training-data operators: shared folder, lineage cuts, distributed ranks, joins on skewed keys.
 
 Nothing here keeps a machine-local file on a cluster: intermediate tables go to the folder that the
 session names in ``spark.checkpoint.dir``. A local folder is used only where that setting is unset.
@@ -101,16 +101,6 @@ def ranked(df: DataFrame, order: Sequence[str], rank: str, within: Sequence[str]
     return s.join(per, on).select(*df.columns, (F.col("__mid") + F.col("__base")).alias(rank))
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = 16) -> DataFrame:
-    """Left join on ``key`` (null-safe), where ``right`` has one row a key and one key may hold a third of ``left``.
-
-    Every right row is repeated ``salts`` times, so a hot key's left rows go to that many tasks.
-    """
-    l = left.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    r = right.withColumnRenamed(key, "__key").withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, (l["__salt"] == r["__s"]) & l[key].eqNullSafe(r["__key"]), "left").drop("__salt", "__s", "__key")
-
-
 def skewed_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, share: int = 1000) -> DataFrame:
     """Inner join on ``key``, where ``right`` has one row a key and its column ``rows`` counts the key's rows in ``left``.
 

@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_at, drop, salted_lookup
+from .common import cut_at, drop, skewed_lookup
 
 
-def _min_lo(e: DataFrame) -> DataFrame:
-    return e.groupBy("hi").agg(F.min("lo").alias("m"))
+def _nodes(e: DataFrame) -> DataFrame:
+    """(v, m, as_hi, as_lo): each end's smallest smaller neighbour, and how many links it is either end of."""
+    none = F.lit(None).cast(e.schema["lo"].dataType)
+    up = e.select(F.col("hi").alias("v"), F.col("lo").alias("m"), F.lit(1).alias("hi"), F.lit(0).alias("lo"))
+    down = e.select(F.col("lo").alias("v"), none.alias("m"), F.lit(0).alias("hi"), F.lit(1).alias("lo"))
+    return up.unionAll(down).groupBy("v").agg(F.min("m").alias("m"), F.sum("hi").alias("as_hi"), F.sum("lo").alias("as_lo"))
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,21 +35,21 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if sign == seen or sign[0] == 0:
             return e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
         seen = sign
-        new, new_at = cut_at(_small(_large(e)), "stars")
+        new, new_at = cut_at(_small(_large(e, sign[0]), sign[0]), "stars")
         drop(e.sparkSession, at)
         e, at = new, new_at
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, links: int) -> DataFrame:
     """Every node hands its larger neighbours to its smallest neighbour."""
-    found = salted_lookup(e, _min_lo(e).withColumnRenamed("hi", "lo"), "lo", "hi")
+    found = skewed_lookup(e, _nodes(e).where("as_lo > 0").select(F.col("v").alias("lo"), "m", F.col("as_lo").alias("n")), "lo", "n", links)
     return found.select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, links: int) -> DataFrame:
     """Every node links its smaller neighbours, and itself, to the smallest of them."""
-    found = salted_lookup(e, _min_lo(e), "hi", "lo")
+    found = skewed_lookup(e, _nodes(e).where("as_hi > 0").select(F.col("v").alias("hi"), "m", F.col("as_hi").alias("n")), "hi", "n", links)
     rest = found.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     own = found.select("hi", F.col("m").alias("lo"))
     return rest.union(own).distinct()

@@ -12,7 +12,7 @@ its row count (temperature 2), from all rows, in units of about 1/``resolution``
 
 Every row is kept: sources that run out leave their slots, the others go on in their proportions.
 ``in_mix`` marks the slots before any source has run out, where all weights hold. A source may hold
-any share of the rows: ranks are distributed and the schedule is joined salted. The number of
+any share of the rows: ranks are distributed and the schedule is broadcast. The number of
 sources is bounded by ``max_sources``, as the cycle is one row.
 
 Defined results: a null source is a source of its own; rows that repeat an id are placed each; an
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ranked, salted_lookup, table
+from .common import cut, ranked, table
 
 
 @dataclass(frozen=True)
@@ -80,11 +80,13 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", source: str = "source", wei
     """doc_id, source, block, release, deadline, slot, row_in_block, in_mix for every row."""
     d = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source")).withColumn("__o", F.md5(F.col("doc_id").cast("string")))
     sources = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    plan = cut(cycle(units(sources, weights, mix)), "cycle")  # one row a source
-    if plan.limit(mix.max_sources + 1).count() > mix.max_sources:
+    sources = cut(sources, "sources")
+    if sources.count() > mix.max_sources:
         raise ValueError("more sources than one cycle holds: group them or raise max_sources")
+    plan = cut(cycle(units(sources, weights, mix)), "cycle")  # one row a source
     r = ranked(d, ["__o", "doc_id"], "__rank", within=["source"], tag="sources")
-    r = salted_lookup(r, plan, "source", "doc_id")
+    of = F.broadcast(plan.withColumnRenamed("source", "__source"))  # at most max_sources rows
+    r = r.join(of, F.col("source").eqNullSafe(F.col("__source")))
     slot = lambda b: F.floor(b / F.col("k")) * F.col("length") + F.element_at("slots", (b % F.col("k")).cast("int") + 1)
     b = F.floor(F.col("__rank") / mix.block_rows)
     blocks = F.ceil(F.col("n") / mix.block_rows)

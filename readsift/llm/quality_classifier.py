@@ -2,17 +2,22 @@
 
 Preference pairs set a text labelled good against one labelled bad. A linear score is learned by
 logistic loss on the difference of the pair's features, P(a preferred to b) = s(w (a - b)). The
-threshold is a quantile of the scores of all documents: near the labelled share of bad texts, the
+features are not picked for any kind of junk: the shares of all trigrams of character classes in the
+text, four measures of repetition, and the shares of words by length, square roots of each so that
+rare ones count. Which of them mark good texts is learned.
+
+The threshold is a quantile of the scores of all documents: near the labelled share of bad texts, the
 level where the fewest documents lie, so that it falls between the two kinds of texts. Scores are
 shifted so that the threshold is 0.7.
 
 ``SAMPLE`` bounds the labelled texts of each kind that the weights are fitted on; features come
-from whole texts and the quantile from all documents (a histogram of ``BINS`` bins). labels, lang,
-source and doc_id are no inputs.
+from whole texts and the quantile from all documents (a histogram of ``BINS`` bins, the outer ones
+open). labels, lang, source and doc_id are no inputs.
 
 Defined results: null, empty and wordless texts have zero features; without labels of both kinds
-every score is 0.5; a null id is scored and not held out; repeated rows are scored each; an empty
-table gives an empty result; other columns are ignored.
+every score is 0.5; a null id is scored and not held out; repeated rows are scored each, and a
+labelled id that repeats is learned from once; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,66 +37,71 @@ from .folds import bounded_sample, fold, training_labels
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 SPAN, BINS = 20.0, 4000
-_UPPER = bytes(range(65, 91))
-_LETTER = _UPPER + bytes(range(97, 123))
-_DIGIT = b"0123456789"
-_SYMBOL = b"#*$%&|<>"
+#: Characters of each class (fixed values); letters, digits and spaces come first, other ASCII and other bytes last.
+CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\v\f\r", b"\n", b".", b",", b"!?", b";:", b"\"'`", b"-_", b"()[]{}", b"/\\|", b"#*$%&<>@+=~^")
+KINDS = len(CLASSES) + 2
+_CLASS_OF = np.full(256, KINDS - 1, np.uint8)
+_CLASS_OF[:128] = KINDS - 2
+for _k, _c in enumerate(CLASSES):
+    _CLASS_OF[np.frombuffer(_c, np.uint8)] = _k
+LENGTHS = 16
+WIDTH = KINDS**3 + 4 + LENGTHS
+#: Bytes of a very long text that are counted at a time.
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
 class Sample:
     each: int = 5000
-    pairs: int = 100_000
+    pairs: int = 50_000
 
 
 SAMPLE = Sample()
 
 
-def features(data: bytes | None) -> list[float]:
-    """Shares between 0 and 1 that do not depend on the length of the text, and the log length."""
-    data = data or b""
-    w = data.split()
-    n, size = len(w), max(1, len(data))
-    if not n:
-        return [0.0] * 19
-    count = lambda s: len(data) - len(data.translate(None, s))
-    letters = max(1, count(_LETTER))
-    upper = count(_UPPER) / letters
-    symbols = count(_SYMBOL) / size
-    digits = count(_DIGIT) / size
-    shout = data.count(b"!!") / n
-    bars = data.count(b" | ") / n
-    pairs = list(zip(w, w[1:]))
-    repeat2 = 1 - len(set(pairs)) / max(1, len(pairs))
+def features(data: bytes | None) -> np.ndarray:
+    """Square roots of shares between 0 and 1, so that the length of the text does not matter."""
+    out = np.zeros(WIDTH, np.float32)
+    w = (data or b"").split()
+    if not w:
+        return out
+    kind = _CLASS_OF[np.frombuffer(data, np.uint8)].astype(np.int32)
+    gram = np.zeros(KINDS**3, np.int64)
+    for at in range(0, len(kind), CHUNK):
+        k = kind[max(0, at - 2) : at + CHUNK]
+        gram += np.bincount((k[:-2] * KINDS + k[1:-1]) * KINDS + k[2:], minlength=KINDS**3)
+    n = len(w)
     seen = Counter(w)
-    top = (max(seen.values()) - 1) / n
-    same = sum(map(bytes.__eq__, w, w[1:])) / n
     lines = [x for x in data.split(b"\n") if x.strip()]
-    dup = 1 - len(set(lines)) / max(1, len(lines))
-    stops = (data.count(b".") + data.count(b",")) / n
-    base = [upper, symbols, digits, shout, bars, repeat2, top, same, dup]
-    return [*base, *(np.sqrt(base)).tolist(), min(stops, 1.0)]
+    again = [1 - len(seen) / n, 1 - len(set(zip(w, w[1:]))) / max(1, n - 1), (max(seen.values()) - 1) / n, 1 - len(set(lines)) / len(lines)]
+    sizes = np.bincount(np.minimum([len(x) for x in w], LENGTHS) - 1, minlength=LENGTHS)
+    out[: KINDS**3], out[KINDS**3 : -LENGTHS], out[-LENGTHS:] = gram / max(1, len(kind) - 2), again, sizes / n
+    return np.sqrt(np.maximum(out, 0))
 
 
 def _matrix(texts) -> np.ndarray:
-    return np.array([features(t.as_py()) for t in texts], float).reshape(-1, 19)
+    return np.array([features(t.as_py()) for t in texts], np.float32).reshape(-1, WIDTH)
 
 
 def fit(good: np.ndarray, bad: np.ndarray, pairs: int = SAMPLE.pairs, seed: int = 5, epochs: int = 8, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and scale of the features, by Adam on random preference pairs."""
-    scale = np.concatenate([good, bad]).std(axis=0) + 1e-3
+    spread = np.concatenate([good, bad]).std(axis=0)
+    on = np.flatnonzero(spread > 0)  # what never varies has no weight
+    w, scale = np.zeros(good.shape[1], np.float32), (spread + 1e-2).astype(np.float32)  # nor is what hardly varies blown up
+    good, bad = good[:, on] / scale[on], bad[:, on] / scale[on]
     rng = np.random.default_rng(seed)
-    w = np.zeros(good.shape[1])
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
+    u = np.zeros(len(on), np.float32)
+    m, v, t = np.zeros_like(u), np.zeros_like(u), 0
     for _ in range(epochs):
         i, j = rng.integers(0, len(good), pairs), rng.integers(0, len(bad), pairs)
         for at in range(0, pairs, 2000):
-            d = (good[i[at : at + 2000]] - bad[j[at : at + 2000]]) / scale
-            lose = 0.5 * (1 - np.tanh(0.5 * (d @ w)))
-            g = -(d * lose[:, None]).mean(axis=0) + decay * w
+            d = good[i[at : at + 2000]] - bad[j[at : at + 2000]]
+            lose = 0.5 * (1 - np.tanh(0.5 * (d @ u)))
+            g = -(lose @ d) / len(d) + decay * u
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            u -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    w[on] = u
     return w, scale
 
 
@@ -116,14 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, s: Sample = SAMPLE, id: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_matrix(b.column(2)).tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in _matrix(b.column(2))], pa.binary())], ["doc_id", "y", "x"])
 
-    got = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "b").mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
+    # At most twice ``each`` rows: of rows that repeat an id the first text counts.
+    sample = d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("b").alias("b"))
+    got = sample.mapInArrow(run, "doc_id long, y int, x binary").toPandas().sort_values("doc_id")
     if got["y"].nunique() < 2:
         return None
-    x = np.array(got["x"].tolist(), float).reshape(-1, 19)
-    order = np.lexsort((*x.T, got["doc_id"]))
-    x, is_good = x[order], got["y"].to_numpy()[order] == 1
+    x, is_good = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, WIDTH), got["y"].to_numpy() == 1
     w, scale = fit(x[is_good], x[~is_good], s.pairs)
     z = (x / scale) @ w
     return Model(w, scale, float(np.median(z[is_good]) + np.median(z[~is_good])) / 2, 1 - good / n)
@@ -156,11 +166,11 @@ def score(docs: DataFrame, model: Model | None, columns: list[str], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = np.clip(held.value.raw(_matrix(b.column(b.num_columns - 1))), -SPAN, SPAN)
+            z = held.value.raw(_matrix(b.column(b.num_columns - 1))).astype(float)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(z)], schema.fieldNames())
 
     raw = cut(docs.select(*columns, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema), "scores")
-    bin_ = F.least(F.floor((F.col("__raw") + SPAN) * (BINS / (2 * SPAN))), F.lit(BINS - 1))
+    bin_ = F.least(F.greatest(F.floor((F.col("__raw") + SPAN) * (BINS / (2 * SPAN))), F.lit(0)), F.lit(BINS - 1))
     counts = np.zeros(BINS, np.int64)
     for r in raw.groupBy(bin_.alias("k")).count().collect():  # BINS rows at most
         counts[r.k] = r["count"]

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialise, salted_lookup, table
+from .common import SPACE, cut, even_lookup, let, materialise, table
 
 
 @dataclass(frozen=True)
@@ -126,12 +126,10 @@ def host_verdicts(d: DataFrame, host: str = "source", rules: HostRules = HostRul
 
 def apply(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
     """Measures, failures and verdict for each document; ``kept`` is false if base_failed, else the host's verdict."""
-    from .common import cut
-
     d = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
     d = rule_failures(document_rules(d, "text", rules), rules).drop("text")
     d = cut(d, "rules")  # measured once, read twice
-    out = salted_lookup(d, host_verdicts(d, "host", rules), "host", "doc_id")
+    out = even_lookup(d, cut(host_verdicts(d, "host", rules), "hosts"), "host")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, salted_lookup, table
+from .common import cut, skewed_lookup, table
 from .components import connected_components
 
 SHINGLE = 3
@@ -188,10 +188,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """doc_id, fp (long), component_id for every row; component_id is the smallest id reachable."""
     f = cut(fingerprints(docs, id, text), "fp")
-    distinct = cut(f.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("v")), "distinct")
-    comp = connected_components(links(distinct, radius, block))
-    of = distinct.join(comp, distinct["v"] == comp["id"], "left").select("fp", F.coalesce("component", "v").alias("component_id"))
-    return salted_lookup(f, of, "fp", "doc_id").select("doc_id", "fp", "component_id")
+    distinct = cut(f.groupBy("fp").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")), "distinct")
+    comp = connected_components(links(distinct.where("v is not null"), radius, block))
+    of = distinct.join(comp, distinct["v"] == comp["id"], "left").select("fp", "n", F.coalesce("component", "v").alias("component_id"))
+    rows = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return skewed_lookup(f, of, "fp", "n", rows).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

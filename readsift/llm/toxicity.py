@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 1).
 
 Two numpy classifiers, a linear model and a small network on the presence of words and word beginnings, are trained
-from confirmed toxic examples (P) and unlabelled text (U: the labelled table's training rows with
-their labels hidden). With class prior p, the risk is
+from confirmed toxic examples (P) and unlabelled text (U: any documents of the training folds, labelled
+or not, as nobody had looked at them). With class prior p, the risk is
 
     p * R_P(+) + max(0, R_U(-) - p * R_P(-))
 
@@ -46,7 +46,7 @@ class Sample:
     unlabelled: int = 12000
     words: int = 1024
     min_docs: int = 3
-    min_z: float = 3.0
+    min_z: float = 4.0
     min_lift: float = 6.0
 
 
@@ -196,10 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, s: Sample = SAMPLE, id: str = "doc
     if not n_pos:
         return Model([], [])
     p = bounded_sample(y.where("y = 1"), s.positives, 1).select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
-    u = bounded_sample(y, s.unlabelled, 2).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
+    ids = docs.select(F.col(id).alias("doc_id")).where("doc_id is not null").where(fold("doc_id", FOLDS) != HELD_OUT).distinct()
+    u = bounded_sample(ids, s.unlabelled, 2).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
     chosen = p.union(u).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
     d = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    sample = d.join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled ids
+    # At most positives + unlabelled rows: of rows that repeat an id the first text counts.
+    sample = d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "p", "u").agg(F.min("text").alias("text")).select("doc_id", "text", "p", "u")
     n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
     if not n_p or not n_u:
         return Model([], [])
