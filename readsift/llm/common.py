@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,6 +86,16 @@ def materialise(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(s)))
 
 
+def slices(b: pa.RecordBatch, text: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose column ``text`` has at most ``limit`` bytes, or a single row."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + limit, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def ranked(df: DataFrame, order: Sequence[str], rank: str, within: Sequence[str] = (), tag: str = "rank") -> DataFrame:
     """Add the 0-based position of each row in ``order``, separately for each ``within``.
 

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, slices, table
 from .folds import bounded_sample, fold, training_labels
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 SPAN, BINS = 20.0, 4000
-#: Characters of each class (fixed values); letters, digits and spaces come first, other ASCII and other bytes last.
-CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\v\f\r", b"\n", b".", b",", b"!?", b";:", b"\"'`", b"-_", b"()[]{}", b"/\\|", b"#*$%&<>@+=~^")
+#: Characters of each class (fixed values); other ASCII is one class more, and other bytes another.
+CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\v\f\r", b"\n", b".,;:", b"!?", b"\"'`()[]{}-_", b"#*$%&|<>@+=~^/\\")
 KINDS = len(CLASSES) + 2
 _CLASS_OF = np.full(256, KINDS - 1, np.uint8)
 _CLASS_OF[:128] = KINDS - 2
@@ -113,7 +113,7 @@ class Model:
     bad_share: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return (x / self.scale) @ self.w - self.centre
+        return x @ (self.w / self.scale) - self.centre
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Sample = SAMPLE, id: str = "doc_id", text: str = "text") -> Model | None:
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Sample = SAMPLE, id: str = "doc
     d = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("binary").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2)):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in _matrix(b.column(2))], pa.binary())], ["doc_id", "y", "x"])
 
     # At most twice ``each`` rows: of rows that repeat an id the first text counts.
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Sample = SAMPLE, id: str = "doc
         return None
     x, is_good = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, WIDTH), got["y"].to_numpy() == 1
     w, scale = fit(x[is_good], x[~is_good], s.pairs)
-    z = (x / scale) @ w
+    z = x @ (w / scale)
     return Model(w, scale, float(np.median(z[is_good]) + np.median(z[~is_good])) / 2, 1 - good / n)
 
 
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model | None, columns: list[str], text: str =
     schema = docs.select(*columns, F.lit(0.0).alias("__raw")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             z = held.value.raw(_matrix(b.column(b.num_columns - 1))).astype(float)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(z)], schema.fieldNames())
 
