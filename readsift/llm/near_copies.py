@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut
+from .common import cut, slices
 from .components import connected_components
 from .simhash import bit_sliced_links, hook
 
@@ -68,11 +68,12 @@ def _packed(parts: int):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        for at, b in enumerate(batches):
-            if not b.num_rows:
-                continue
-            all_ = [words(t.as_py()) for t in b.column(1)]
-            sets = [shingles(w) for w in all_]
+        for at, b in enumerate(part for whole in batches for part in slices(whole, 1)):
+            sets, digests = [], []
+            for t in b.column(1):
+                w = words(t.as_py())
+                sets.append(shingles(w))
+                digests.append(blake2b(b" ".join(w), digest_size=16).digest())
             n = np.array([len(h) for h in sets], np.int64)
             h = np.concatenate(sets).view(np.uint64)
             part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
@@ -81,7 +82,7 @@ def _packed(parts: int):
             edge = np.searchsorted(part[order], np.arange(parts + 1))
             on = np.flatnonzero(np.diff(edge))
             cut_ = lambda x: [x[edge[k] : edge[k + 1]].tobytes() for k in on]
-            text = [b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), n.tobytes(), b"".join(blake2b(b" ".join(w), digest_size=16).digest() for w in all_)]
+            text = [b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), n.tobytes(), b"".join(digests)]
             bid = base + at
             yield _row_batch([bid] * (len(on) + 1), [*on.tolist(), bid % parts], [*cut_(own), text[0]], [*cut_(low), text[1]], [None] * len(on) + [text[2]])
 

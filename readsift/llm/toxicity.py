@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .folds import bounded_sample, fold, training_labels
 
 FOLDS, HELD_OUT = 3, 1
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Sample = SAMPLE, id: str = "doc
     features = Features(words)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             found = [features.of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "p", "u", "x"])
 
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text",
     at, n = d.columns.index(text), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, at)):
             scores = held.value.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(scores)], schema.fieldNames())
 
