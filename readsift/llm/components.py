@@ -35,9 +35,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if sign == seen or sign[0] == 0:
             return e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
         seen = sign
-        new, new_at = cut_at(_small(_large(e, sign[0]), sign[0]), "stars")
-        drop(e.sparkSession, at)
-        e, at = new, new_at
+        # Each star is a table, as its plan would be repeated at every use.
+        for star in (_large, _small):
+            new, new_at = cut_at(star(e, sign[0]), "stars")
+            drop(e.sparkSession, at)
+            e, at = new, new_at
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
