@@ -306,9 +306,11 @@ _PAIRS = f"{_FOLDM}, pr AS (SELECT a.fold, a.auprc - b.auprc AS d, 'mixed-size'
 
 def fold_pairs(spark, d):
     m = ranking.auprc(predictions(spark, d), ["arm", "model", "fold"], "y", "score", ["read_id"]).select("arm", "model", "fold", F.col("auprc").alias("value"))
-    of = lambda a, mo: m.where((F.col("arm") == a) & (F.col("model") == mo))
-    one = tests.paired(of("combined", "mixed"), of("combined", "size")).withColumn("id", F.lit("mixed-size"))
-    return one.unionByName(tests.paired(of("combined", "mixed"), of("single", "size")).withColumn("id", F.lit("mixed-single")))
+    of = lambda a, mo: F.max(F.when((F.col("arm") == a) & (F.col("model") == mo), F.col("value")))
+    # One pass over the metrics: each fold's values side by side.
+    g = m.groupBy("fold").agg(of("combined", "mixed").alias("a"), of("combined", "size").alias("mixed-size"), of("single", "size").alias("mixed-single"))
+    long = g.select("fold", "a", F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.col(i).alias("b")) for i in ("mixed-size", "mixed-single")])).alias("x"))
+    return long.select("fold", "a", "x.b", (F.col("a") - F.col("x.b")).alias("d"), "x.id").where("a is not null and b is not null")
 
 
 _WIL = _PAIRS + """, nz AS (SELECT id, d, round(abs(d), 12) AS a FROM pr WHERE d IS NOT NULL AND d <> 0),
@@ -384,11 +386,14 @@ def concordance(spark, d):
 
 
 @query(_HYP + """ SELECT ord, id AS hypothesis, 'primary' AS family, CASE WHEN abs(effect) >= 0.01 THEN printf('%.3f', effect) ELSE printf('%.2e', effect) END AS effect, '-' AS ci_95,
-CASE WHEN p_value < 1e-4 THEN printf('%.1e', p_value) ELSE printf('%.4f', p_value) END AS p_raw, CASE WHEN p_value < 1e-4 THEN printf('%.1e', p_value) ELSE printf('%.4f', p_value) END AS p_holm_sidak,
-CASE WHEN significant THEN 'yes' ELSE 'no' END AS significant, '' AS note FROM fx JOIN wx USING (id) JOIN od USING (id)""")
+CASE WHEN p_value < 1e-4 THEN printf('%.1e', p_value) ELSE printf('%.4f', p_value) END AS p_raw, CASE WHEN adj < 1e-4 THEN printf('%.1e', adj) ELSE printf('%.4f', adj) END AS p_holm_sidak,
+CASE WHEN adj < 0.05 THEN 'yes' ELSE 'no' END AS significant, '' AS note
+FROM (SELECT *, least(1, max(1 - (1 - p_value) ** (m - i + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)) AS adj FROM (SELECT fx.id, effect, p_value, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, id) AS i FROM fx JOIN wx USING (id))) JOIN od USING (id)""")
 def hypothesis_table(spark, d):
     none = F.lit(None).cast("double")
-    r = effects(spark, d).select("id", F.lit("primary").alias("family"), F.col("effect").alias("median_diff"), none.alias("ci_lo"), none.alias("ci_hi"), F.col("p_value").alias("wilcox_p"), F.col("p_value").alias("holm_sidak_p"), "significant", F.lit(None).cast("string").alias("note"))
+    e = tests.holm_sidak(effects(spark, d), "id", "p_value")
+    adjusted = F.col("p_adjusted")
+    r = e.select("id", F.lit("primary").alias("family"), F.col("effect").alias("median_diff"), none.alias("ci_lo"), none.alias("ci_hi"), F.col("p_value").alias("wilcox_p"), adjusted.alias("holm_sidak_p"), (adjusted < 0.05).alias("significant"), F.lit(None).cast("string").alias("note"))
     return compare.hypothesis_table(r, _order(spark))
 
 

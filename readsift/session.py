@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,6 +25,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return b.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); local only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='readsift-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/readsift/{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the catalogue's tables; ``sf_dir`` may be any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ REQUIRED_SAMPLE_COLUMNS = ("library_id", "donor", "titration_level", "run_id")
 #: Column names that quality tools use, and the canonical ones (fixed values).
 QC_NAMES = {
     "#id": "read_id", "id": "read_id", "#name": "read_id", "name": "read_id",
-    "length": "read_len", "avg-qual": "mean_q", "avg.qual": "mean_q", "GC": "gc", "GC(%)": "gc",
+    "length": "read_len", "avg-qual": "mean_q", "avg.qual": "mean_q", "GC": "gc",
 }
 
 
@@ -36,8 +36,12 @@ def tsv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, he
 
 
 def with_order(df: DataFrame) -> DataFrame:
-    """Add ``_ord``, the rows' place by file and position, which settles ties as file order does."""
-    return df.withColumn("_ord", F.monotonically_increasing_id())
+    """Add ``_ord``, the rows' place by file and position, which settles ties as file order does.
+
+    A block of a file is read by one task from its start on, so (file, block, place in the task)
+    orders rows as the files do, however they are packed into tasks.
+    """
+    return df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place")).alias("_ord"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -79,13 +83,16 @@ def read_masked(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qc(spark: SparkSession, path: str) -> DataFrame:
-    """Read statistics under canonical names; read ids end at the first white space."""
+    """Read statistics under canonical names; read ids end at the first white space, and gc is a share."""
     d = spark.read.options(sep="\t", header=True, inferSchema=False, quote="").csv(path)
     for old, new in QC_NAMES.items():
         if old in d.columns and new not in d.columns:
             d = d.withColumnRenamed(old, new)
+    if percent := "GC(%)" in d.columns and "gc" not in d.columns:
+        d = d.withColumnRenamed("GC(%)", "gc")
     out = d.withColumn("read_id", F.regexp_replace("read_id", r"\s.*$", ""))
-    return out.withColumns({c: F.col(c).try_cast("double") for c in ("read_len", "mean_q", "gc") if c in out.columns})
+    out = out.withColumns({c: F.col(c).try_cast("double") for c in ("read_len", "mean_q", "gc") if c in out.columns})
+    return out.withColumn("gc", F.col("gc") / 100) if percent else out
 
 
 def read_end_reason(spark: SparkSession, path: str) -> DataFrame:
@@ -104,11 +111,11 @@ def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
-    """(id, seq, nchar). Records are split at '>' by the reader, so files stay splittable.
+    """(id, seq, nchar). Records are split at '>' after a line break by the reader, so files stay splittable.
 
     Records shorter than ``min_length`` (such as headers that swallowed their sequence) are dropped.
     """
-    d = spark.read.option("lineSep", ">").text(path).where(F.length("value") > 0)
+    d = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^>", "")).where(F.length("value") > 0)
     head = F.regexp_extract("value", r"^([^\s]*)", 1)
     body = F.when(F.instr("value", "\n") > 0, F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "")).otherwise("")
     return d.select(head.alias("id"), body.alias("seq")).withColumn("nchar", F.length("seq")).where(F.col("nchar") >= min_length)

@@ -27,6 +27,7 @@ def wilcoxon_exact(diffs: DataFrame, groups: Sequence[str], d: str = "d", max_n:
     all 2^n sign vectors; groups above ``max_n`` differences get the normal approximation with
     continuity and tie correction. A group of zeros has a null p.
     """
+    every = diffs.select(*groups).distinct()
     x = diffs.where(F.col(d).isNotNull() & (F.col(d) != 0)).withColumn("__a", F.round(F.abs(F.col(d)), 12))
     part = Window.partitionBy(*groups)
     low = F.rank().over(part.orderBy("__a"))
@@ -50,7 +51,8 @@ def wilcoxon_exact(diffs: DataFrame, groups: Sequence[str], d: str = "d", max_n:
     p = signs.groupBy(*groups, "n", "statistic", "mean", "__tie").agg(F.avg(hit).alias("__p"))
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("__tie")
     z = F.greatest(F.abs(F.col("statistic") - F.col("mean")) - 0.5, F.lit(0.0)) / F.sqrt(var)
-    return p.select(*groups, "n", "statistic", F.when(n <= max_n, F.col("__p")).otherwise(2 * (1 - normal_cdf(z))).alias("p_value"))
+    out = p.select(*groups, "n", "statistic", F.when(n <= max_n, F.col("__p")).otherwise(2 * (1 - normal_cdf(z))).alias("p_value"))
+    return every.join(out, list(groups), "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def normal_cdf(z):

@@ -104,11 +104,16 @@ def test_blast_and_tokens(spark, tmp_path):
 
 def test_sources(spark, tmp_path):
     q = text.read_qc(spark, write(tmp_path / "q.tsv", ["#id\tlength\tavg.qual\tGC(%)", "r1 extra\t100\t12.5\t40"])).first()
-    assert (q.read_id, q.read_len, q.mean_q, q.gc) == ("r1", 100.0, 12.5, 40.0)
+    assert (q.read_id, q.read_len, q.mean_q, q.gc) == ("r1", 100.0, 12.5, 0.4)
     with pytest.raises(ValueError, match="titration_level"):
         text.read_sample_sheet(spark, write(tmp_path / "s.tsv", ["library_id\tdonor", "L1\tD1"]))
-    fa = text.read_fasta(spark, write(tmp_path / "f.fa", [">a desc", "ACGT", "AC", ">b", "GG"]))
+    fa = text.read_fasta(spark, write(tmp_path / "f.fa", [">a desc->x", "ACGT", "AC", ">b", "GG"]))
     assert rows(fa) == [("a", "ACGTAC", 6), ("b", "GG", 2)]
+    # Ties go by file and place, though larger files are packed first.
+    write(tmp_path / "a.paf", ["r\t100\t0\t9\t+\tA\t9\t0\t9\t5\t9\t60"])
+    write(tmp_path / "b.paf", ["r\t100\t0\t9\t+\tB\t9\t0\t9\t5\t9\t60"] * 50)
+    best = topk.best_per_key(text.read_paf(spark, [str(tmp_path / "b.paf"), str(tmp_path / "a.paf")]), ["qname"], "score", ["_ord"])
+    assert [r.tname for r in best.collect()] == ["A"]
     assert text.summary_file("ab-cd1234-99", ["x_abcd1234.txt", "y.txt"]) == "x_abcd1234.txt" and text.summary_file("zz", ["only.txt"]) == "only.txt"
     assert text.run_tag("fixed", 0.9, 0.8) == "gt_fixed_id0.90_cov0.80"
     g = spark.createDataFrame([("g", 1, "AC"), ("g", 2, "GT")], "genome string, ord int, seq string")
@@ -213,7 +218,7 @@ def test_folds(spark):
 def test_statistics(spark):
     d = spark.createDataFrame([("a", i, 0.1 + i / 100) for i in range(8)] + [("b", i, x) for i, x in enumerate([0.1, -0.2, 0.3, 0.4, 0.0])] + [("z", 0, 0.0)], "id string, fold int, d double")
     got = {r.id: r for r in st.wilcoxon_exact(d, ["id"]).collect()}
-    assert got["a"].p_value == 2 / 2**8 and got["b"].n == 4 and got["b"].statistic == 8.0 and "z" not in got
+    assert got["a"].p_value == 2 / 2**8 and got["b"].n == 4 and got["b"].statistic == 8.0 and (got["z"].n, got["z"].p_value) == (0, None)
     x = [1.0, 2.0, 3.0, 4.0]
     want = np.mean([abs(sum(r for r, s in zip(x, m) if s) - 5) >= abs(8 - 5) for m in itertools.product([0, 1], repeat=4)])
     assert got["b"].p_value == want
