@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, extras, files, learning, reads, streams
+from .plans import evaluation, extras, files, learning, reads, streams, study
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = (reads, evaluation, learning, streams, extras, files)
+_modules = (reads, evaluation, learning, streams, extras, files, study)
 
 
 def queries() -> dict[str, Query]:

@@ -130,23 +130,41 @@ def mixed_effect(rows: Sequence[tuple[str, str, float]]) -> dict:
     n = len(rows)
     if n < 4 or len(methods) < 2 or len(donors) < 3:
         return {"estimate": None, "p_value": None, "n": n, "engine": "none"}
-    y = np.array([r[2] for r in rows])
     x = np.stack([np.ones(n), [float(r[1] == methods[1]) for r in rows]], axis=1)
-    of = np.array([donors.index(r[0]) for r in rows])
+    est, p = _random_intercept(np.array([r[2] for r in rows]), x, np.array([donors.index(r[0]) for r in rows]))
+    return {"estimate": est, "p_value": p, "n": n, "engine": "reml"}
+
+
+def interaction_effect(rows: Sequence[tuple[str, bool, bool, float]]) -> dict:
+    """value ~ a * b + (1 | fold) over (fold, a, b, value): the interaction's estimate and p, as in ``mixed_effect``.
+
+    Without all four cells, or with too few rows for the residual, both are None.
+    """
+    rows = [r for r in rows if r[3] is not None and np.isfinite(r[3])]
+    folds, n = sorted({r[0] for r in rows}), len(rows)
+    if len({(r[1], r[2]) for r in rows}) < 4 or len(folds) < 2 or n - len(folds) - 3 < 1:
+        return {"estimate": None, "p_value": None, "n": n, "engine": "none"}
+    a, b = (np.array([float(r[k]) for r in rows]) for k in (1, 2))
+    est, p = _random_intercept(np.array([r[3] for r in rows]), np.stack([np.ones(n), a, b, a * b], axis=1), np.array([folds.index(r[0]) for r in rows]))
+    return {"estimate": est, "p_value": p, "n": n, "engine": "reml"}
+
+
+def _random_intercept(y: np.ndarray, x: np.ndarray, of: np.ndarray) -> tuple[float, float]:
+    """Estimate and p of the last column of ``x`` with an intercept for each group of ``of``."""
+    n, k = x.shape
+    size = np.bincount(of)
     best = None
     for ratio in np.r_[0, np.logspace(-4, 4, 161)]:
-        size = np.bincount(of)
         v = lambda a: a - (ratio / (1 + ratio * size))[of].reshape((-1,) + (1,) * (a.ndim - 1)) * _sum_by(a, of)[of]
         xtx = x.T @ v(x)
         beta = np.linalg.solve(xtx, x.T @ v(y))
         r = y - x @ beta
-        s2 = float(r @ v(r)) / (n - 2)
-        crit = (n - 2) * np.log(max(s2, 1e-300)) + np.log1p(ratio * size).sum() + np.linalg.slogdet(xtx)[1]
+        s2 = float(r @ v(r)) / (n - k)
+        crit = (n - k) * np.log(max(s2, 1e-300)) + np.log1p(ratio * size).sum() + np.linalg.slogdet(xtx)[1]
         if best is None or crit < best[0]:
-            best = crit, beta[1], np.sqrt(s2 * np.linalg.inv(xtx)[1, 1])
+            best = crit, beta[-1], np.sqrt(max(s2, 0.0) * np.linalg.inv(xtx)[-1, -1])
     _, est, se = best
-    df = n - len(donors) - 1
-    return {"estimate": float(est), "p_value": _t_two_sided(est / se if se > 0 else np.inf, df), "n": n, "engine": "reml"}
+    return float(est), _t_two_sided(est / se if se > 0 else np.inf, n - len(size) - (k - 1))
 
 
 def _sum_by(a: np.ndarray, of: np.ndarray) -> np.ndarray:
