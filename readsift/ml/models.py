@@ -68,11 +68,11 @@ def fixed_threshold(train: DataFrame, test: DataFrame, features: Sequence[str])
 glm = _spark(_logit)
 
 
-def forest(trees: int = 100, share: float = 0.5, leaf: int = 10, seed: int = 1729) -> Callable:
+def forest(trees: int = 500, share: float = 0.5, leaf: int = 10, seed: int = 1729) -> Callable:
     return _spark(lambda n: RandomForestClassifier(featuresCol="__x", labelCol="y", weightCol="weight", numTrees=trees, featureSubsetStrategy=str(max(1, round(share * n))), minInstancesPerNode=leaf, maxDepth=10, seed=seed))
 
 
-def boosted(depth: int = 6, rate: float = 0.1, rounds: int = 30, seed: int = 1729) -> Callable:
+def boosted(depth: int = 6, rate: float = 0.1, rounds: int = 300, seed: int = 1729) -> Callable:
     """Gradient-boosted trees; missing values reach the trees through indicator columns."""
     return _spark(lambda n: GBTClassifier(featuresCol="__x", labelCol="y", weightCol="weight", maxDepth=depth, stepSize=rate, maxIter=rounds, seed=seed), indicators=True)
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..ml import models, run
 from ..operators import ranking
 from ..session import table
 from ..stats import study
 from .bridge import LEVELS
 from .evaluation import _WIL, metric_sql, rounded
+from .learning import FEATURES, training_table
 
 #: Share of signal in the score of each arm, model and scheme (fixed values of the view below).
 SIGNAL = (
@@ -75,6 +77,30 @@ def study_choice(spark, d):
     return spark.createDataFrame([(family, study.choose_family(None, v, study.TREES), study.choose_arm(v, family))], "family string, tree string, single string")
 
 
+BLOCKS = {"length": ("n_chars", "n_lines"), "shares": ("upper_share", "symbol_share")}
+
+
+def run_table(spark, d):
+    """Labelled documents as a feature table of three donors and the languages as taxa."""
+    t = training_table(spark, d).withColumn("donor", F.concat(F.lit("D"), (F.col("read_id") % 3).cast("string")))
+    label = F.when(F.col("y") == 1, "positive").otherwise("negative")
+    return t.withColumn("label", label).withColumn("titration_level", F.lit("c1")).withColumn("end_reason_unblock", F.lit(0)).drop("y")
+
+
+def model_run(spark, d):
+    """Rows, scores and failures of a whole run by arm, model, scheme and fold, with the logistic model in all roles."""
+    t = run_table(spark, d).persist()  # read once for all folds; labelled rows only
+    arms = {"combined": FEATURES, "length_only": list(BLOCKS["length"])}
+    p = run.run(t, arms, {"glm": models.glm}, BLOCKS, {"shares": ["shares"], "nothing": []}, {"none": None, "truth": "species", "absent": "no_such_column"}, best="glm")
+    return p.groupBy("arm", "model", "scheme", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("n_pos"), F.count("score").alias("n_scored"), F.count("error").alias("n_failed"))
+
+
+def run_inner_scores(spark, d):
+    """Inner average precision of the logistic model for each held-out donor."""
+    t = run_table(spark, d).persist()
+    return run.inner_scores(t, "combined", FEATURES, {"glm": models.glm}, k=2)
+
+
 _LEVEL = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEVELS.items()) + " END"
 _SIGNAL = ", ".join(f"('{a}', '{m}', '{s}', {w}::DOUBLE, {1 - w!r}::DOUBLE)" for a, m, s, w in SIGNAL)
 STUDY_SQL = f"""
@@ -114,8 +140,17 @@ pr AS (
   JOIN sv b ON b.metric = de.metric AND b.arm = arm_b AND b.model = model_b AND b.level = level_b AND b.scheme = 'LOEO' AND b.fold = a.fold)"""
 _EXACT = _WIL[_WIL.index("nz AS") :]
 
-QUERIES = {f.__name__: f for f in (study_contrasts, study_hypotheses, study_mixed_supplement, study_choice)}
+QUERIES = {f.__name__: f for f in (study_contrasts, study_hypotheses, study_mixed_supplement, study_choice, model_run, run_inner_scores)}
 ORACLES = {
     "study_contrasts": f"WITH {STUDY_SQL}, {_DESIGN_SQL}, {_EXACT} SELECT de.id, family, comparison, coalesce(nf, 0) AS n_folds, round(md, 6) AS median_diff, round(p_value, 9) AS wilcox_p FROM de LEFT JOIN (SELECT id, count(*) AS nf, median(d) AS md FROM pr GROUP BY 1) USING (id) LEFT JOIN wx USING (id)",
     "study_choice": f"WITH {STUDY_SQL} SELECT f AS family, t AS tree, s AS single FROM ch",
+    # Counts of the run: donors D0 to D2 are folds 1 to 3; a taxon's fold tests the donors at odd or even places.
+    "model_run": """WITH t AS (SELECT doc_id, lang, quality AS y, (doc_id % 3)::INT AS k FROM documents JOIN labels USING (doc_id)),
+ds AS (SELECT k, row_number() OVER (ORDER BY k) AS fold FROM (SELECT DISTINCT k FROM t)),
+runs(arm, model) AS (VALUES ('combined', 'glm'), ('length_only', 'glm'), ('combined_minus_shares', 'glm'), ('combined', 'glmm_none'), ('combined', 'glmm_truth')),
+tx AS (SELECT lang AS taxon, row_number() OVER (ORDER BY lang) AS fold FROM (SELECT DISTINCT lang FROM t WHERE y = 1 AND lang IS NOT NULL AND lang <> '')),
+mk AS (SELECT tx.fold, y, CASE WHEN ds.fold % 2 = tx.fold % 2 AND (y = 0 OR lang = taxon) THEN 'test' WHEN ds.fold % 2 <> tx.fold % 2 AND (y = 0 OR lang <> taxon) THEN 'train' END AS part FROM t JOIN ds USING (k), tx),
+ok AS (SELECT fold FROM mk GROUP BY 1 HAVING bool_or(part = 'train' AND y = 0) AND bool_or(part = 'train' AND y = 1) AND bool_or(part = 'test' AND y = 0) AND bool_or(part = 'test' AND y = 1))
+SELECT arm, model, 'LOEO' AS scheme, fold::INT AS fold, count(*) AS n, sum(y)::BIGINT AS n_pos, count(*) AS n_scored, 0 AS n_failed FROM t JOIN ds USING (k), runs GROUP BY arm, model, fold
+UNION ALL SELECT 'combined', 'glm', 'LOTO', fold::INT, count(*), sum(y)::BIGINT, count(*), 0 FROM mk JOIN ok USING (fold) WHERE part = 'test' GROUP BY fold""",
 }

@@ -80,3 +80,28 @@ def test_interaction_effect():
 def test_mixed_supplement(tables):
     got = {r.id: r for r in study.mixed_supplement(tables[0], tables[3]).collect()}
     assert set(got) == {"H1", "H2", "H4"} and got["H1"].n_units == 64 and got["H1"].mixed_estimate > 0 and got["H2"].mixed_p < 0.05
+
+
+def test_run_driver(spark):
+    """Folds, ablations, taxa and sources of a run; tuning takes the better candidate; a failing model is reported."""
+    from pyspark.sql import functions as F
+
+    from readsift.ml import models, run
+
+    t = spark.range(240).selectExpr("id read_id", "concat('D', (id div 2) % 3) donor", "'c1' titration_level", "if(id % 2 = 1, concat('s', id div 6 % 3), null) species", "case when id >= 230 then 'ambiguous' when id % 2 = 1 then 'positive' else 'negative' end label", "0 end_reason_unblock", "cast(id % 2 + (id * 37 % 10) / 20 as double) a", "cast(id * 31 % 17 as double) b")
+
+    def broken(train, test, features):
+        raise ValueError("no fit")
+
+    by = lambda c: lambda train, test, features: test.withColumn("score", F.col(c))
+    p = run.run(t, {"combined": ["a", "b"]}, {"best": by("a"), "tuned": [by("b"), by("a")], "broken": broken}, {"x": ["a"], "y": ["c"]}, {"x": ["x"], "y": ["y"]}, {}, best="best").persist()
+    got = {(r.arm, r.model, r.scheme): r for r in p.groupBy("arm", "model", "scheme").agg(F.count("*").alias("n"), F.count("score").alias("s"), F.count("error").alias("e"), F.count_distinct("fold").alias("f")).collect()}
+    assert set(got) == {("combined", m, "LOEO") for m in ("best", "tuned", "broken")} | {("combined_minus_x", "best", "LOEO"), ("combined", "best", "LOTO")}
+    assert all(r.n == 230 for k, r in got.items() if k[2] == "LOEO") and got["combined", "best", "LOTO"].f == 3
+    assert (got["combined", "broken", "LOEO"].e, got["combined", "broken", "LOEO"].s) == (230, 0)
+    tuned = {r.read_id: r.score for r in p.where("model = 'tuned'").collect()}
+    assert tuned == {r.read_id: r.a for r in t.where("label <> 'ambiguous'").collect()}
+    taxa = p.where("scheme = 'LOTO' and y = 1").groupBy("fold").agg(F.count_distinct("species").alias("k")).collect()
+    assert all(r.k == 1 for r in taxa)
+    inner = run.inner_scores(t, "combined", ["a", "b"], {"good": by("a"), "bad": by("b")}).collect()
+    assert len(inner) == 6 and all((r.inner_auprc > 0.99) == (r.model == "good") for r in inner)
