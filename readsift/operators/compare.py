@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def crosstab(df: DataFrame, a: str = "label_a", b: str = "label_b") -> DataFrame:
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).withColumn("changed", ~F.col(a).eqNullSafe(F.col(b)))
@@ -14,13 +16,15 @@ def crosstab(df: DataFrame, a: str = "label_a", b: str = "label_b") -> DataFrame
 
 def flip_profile(df: DataFrame, values: Sequence[str], a: str = "label_a", b: str = "label_b") -> DataFrame:
     """Minimum, median and maximum of ``values`` among the rows whose label changed."""
-    stats = [x for v in values for x in (F.min(v).alias(f"{v}_min"), F.median(v).alias(f"{v}_med"), F.max(v).alias(f"{v}_max"))]
-    return df.where(F.col(a) != F.col(b)).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), *stats)
+    d = df.where(F.col(a) != F.col(b))
+    ends = d.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), *[x for v in values for x in (F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"))])
+    out = ends.join(quantiles(d, (a, b), {f"{v}_med": (v, 0.5) for v in values}), [a, b])
+    return out.select(a, b, "n", *[f"{v}_{s}" for v in values for s in ("min", "med", "max")])
 
 
 def read_calls(df: DataFrame, y: str = "y", score: str = "score", recall: float = 0.95) -> DataFrame:
     """ground_truth, model_call and correct at the score that keeps ``recall`` of the positives."""
-    thr = df.where(F.col(y) == 1).agg(F.percentile(score, round(1 - recall, 12)).alias("__thr"))
+    thr = quantiles(df.where(F.col(y) == 1), (), {"__thr": (score, round(1 - recall, 12))})
     d = df.crossJoin(F.broadcast(thr))  # one row
     d = d.withColumn("ground_truth", F.when(F.col(y) == 1, "positive").otherwise("negative"))
     d = d.withColumn("model_call", F.when(F.col(score) >= F.col("__thr"), "positive").otherwise("negative"))

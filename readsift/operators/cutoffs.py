@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 PROBS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
 def distribution(df: DataFrame, metrics: Sequence[str] = ("identity", "coverage"), probs: Sequence[float] = PROBS) -> DataFrame:
-    """(metric, quantile, value, mean, n): exact type-7 quantiles, one pass for all metrics."""
-    agg = df.agg(*[x for m in metrics for x in (F.percentile(m, F.array(*map(F.lit, probs))).alias(f"q_{m}"), F.avg(m).alias(f"m_{m}"), F.count(m).alias(f"n_{m}"))])
+    """(metric, quantile, value, mean, n): exact type-7 quantiles of all metrics from one ordered table of counts."""
+    agg = df.agg(*[x for m in metrics for x in (F.avg(m).alias(f"m_{m}"), F.count(m).alias(f"n_{m}"))])
+    found = quantiles(df, (), {f"q_{m}_{i}": (m, p) for m in metrics for i, p in enumerate(probs)})
+    agg = agg.crossJoin(F.broadcast(found))  # one row each
     names = F.array(*[F.lit(f"p{round(p * 100)}") for p in probs])
-    rows = [F.struct(F.lit(m).alias("metric"), F.col(f"q_{m}").alias("q"), F.col(f"m_{m}").alias("mean"), F.col(f"n_{m}").alias("n")) for m in metrics]
+    rows = [F.struct(F.lit(m).alias("metric"), F.array(*[f"q_{m}_{i}" for i in range(len(probs))]).alias("q"), F.col(f"m_{m}").alias("mean"), F.col(f"n_{m}").alias("n")) for m in metrics]
     r = agg.select(F.explode(F.array(*rows)).alias("r"))
     r = r.select("r.*", F.posexplode("r.q").alias("i", "value"))
     return r.select("metric", names[F.col("i")].alias("quantile"), "value", "mean", "n")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import quantiles, running
+
 
 def loeo_folds(donors: DataFrame, donor: str = "donor") -> DataFrame:
     """(fold, test_donor): fold i holds out the i-th donor. Donors are a design table."""
@@ -72,8 +74,8 @@ def stratified_cap(df: DataFrame, y: str, cap: int, order: Sequence[str]) -> Dat
     """
     n = df.groupBy(y).agg(F.count(F.lit(1)).alias("__c"))
     n = n.crossJoin(F.broadcast(n.agg(F.sum("__c").alias("__n")))).select(F.col(y).alias("__y"), F.when(F.col("__n") <= cap, F.col("__c")).otherwise(F.round(cap / F.col("__n") * F.col("__c"))).alias("__keep"))
-    w = Window.partitionBy(y).orderBy(*order)
-    return df.withColumn("__r", F.row_number().over(w)).join(F.broadcast(n), F.col(y).eqNullSafe(F.col("__y"))).where(F.col("__r") <= F.col("__keep")).drop("__r", "__y", "__keep")
+    d = running(df, [y], [F.col(c) for c in order], {"__r": F.lit(1)})
+    return d.join(F.broadcast(n), F.col(y).eqNullSafe(F.col("__y"))).where(F.col("__r") <= F.col("__keep")).drop("__r", "__r_all", "__y", "__keep")  # a row a class
 
 
 def missingness(df: DataFrame, groups: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -88,7 +90,7 @@ def missingness(df: DataFrame, groups: Sequence[str], features: Sequence[str]) -
 
 def impute_median(train: DataFrame, test: DataFrame, groups: Sequence[str], features: Sequence[str]) -> DataFrame:
     """``test`` with nulls replaced by the train median of the group (0 where train has no value)."""
-    med = train.groupBy(*groups).agg(*[F.percentile(f, 0.5).alias(f"__{f}") for f in features])
+    med = quantiles(train, groups, {f"__{f}": (f, 0.5) for f in features})
     out = test.join(med, list(groups), "left")
     return out.withColumns({f: F.coalesce(F.col(f).cast("double"), F.col(f"__{f}"), F.lit(0.0)) for f in features}).drop(*[f"__{f}" for f in features])
 

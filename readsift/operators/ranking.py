@@ -1,7 +1,8 @@
 """Ranking metrics: average precision, precision and FDR at a recall, Brier score.
 
-One score-descending window serves all of them. Rows of a tie are ranked by ``ties``, as metrics
-that step row by row depend on the order of equal scores.
+One score-descending pass of running counts serves all of them, spread over many tasks however large
+a group is (``ranks.running``). Rows of a tie are ranked by ``ties``, as metrics that step row by row
+depend on the order of equal scores.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import running
 
 TARGETS = (0.90, 0.95, 0.99)
 
@@ -27,12 +29,9 @@ def metric_rows(df: DataFrame, groups: Sequence[str], y: str, score: str, ties:
     """
     d = df.select(*groups, F.col(y).alias("__y"), F.col(score).cast("double").alias("__s"), *[F.col(c).alias(f"__t{i}") for i, c in enumerate(ties)])
     ok = is_finite(F.col("__s")) & F.col("__y").isNotNull()
-    part = Window.partitionBy(*groups)
-    order = part.orderBy(F.desc("__s"), *[f"__t{i}" for i in range(len(ties))]).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("__y", F.when(ok, F.col("__y"))).withColumn("__s", F.when(ok, F.col("__s")))
-    d = d.withColumn("__p", F.count_if(F.col("__y") == 1).over(part))
-    d = d.withColumn("__tp", F.count_if(F.col("__y") == 1).over(order)).withColumn("__n", F.count("__y").over(order))
-    precision, recall = F.col("__tp") / F.greatest(F.col("__n"), F.lit(1)), F.col("__tp") / F.nullif(F.col("__p"), F.lit(0))
+    d = running(d, groups, [F.desc("__s"), *[F.col(f"__t{i}") for i in range(len(ties))]], {"__tp": F.col("__y") == 1, "__n": F.col("__y").isNotNull()})
+    precision, recall = F.col("__tp") / F.greatest(F.col("__n"), F.lit(1)), F.col("__tp") / F.nullif(F.col("__tp_all"), F.lit(0))
     d = d.withColumn("__prec", F.when(F.col("__y").isNotNull(), precision)).withColumn("__rec", recall)
     g = d.groupBy(*groups).agg(
         F.count_if(F.col("__y") == 1).alias("n_pos"),
@@ -61,7 +60,7 @@ def auprc(df: DataFrame, groups: Sequence[str], y: str, score: str, ties: Sequen
 def stratified_metrics(df: DataFrame, groups: Sequence[str], y: str, score: str, ties: Sequence[str], truncated: str, level: str, targets: Sequence[float] = TARGETS) -> DataFrame:
     """Metrics with and without truncated rows, for all levels together and each by itself.
 
-    Each row is copied to the reports it belongs to, so that one window serves all four.
+    Each row is copied to the reports it belongs to, so that one pass serves all four.
     """
     kept = F.when(F.coalesce(F.col(truncated) == 0, F.lit(True)), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
     d = df.withColumn("truncated_included", F.explode(kept))

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import is_finite
+from .ranks import quantiles
 
 SLICE = ("arm", "model", "scheme", "fold", "donor", "titration_level")
 
 
 def thresholds(preds: DataFrame, by: Sequence[str] = ("arm", "model"), score: str = "score", q: float = 0.75) -> DataFrame:
     """The exact type-7 quantile of all scores of each ``by``, pooled over schemes, folds and donors."""
-    return preds.groupBy(*by).agg(F.percentile(score, q).alias("thr_am"))
+    return quantiles(preds, by, {"thr_am": (score, q)})
 
 
 def aggregate_sample_taxon(preds: DataFrame, expected: DataFrame | None, coverage: DataFrame | None = None, p_min: float = 0.95, quantile: float = 0.75) -> DataFrame:

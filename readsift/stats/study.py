@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import is_finite
+from ..operators.ranks import quantiles
 from . import tests
 
 FAMILIES = ("glm", "random_forest", "boosted_trees", "glmm")
@@ -160,7 +161,7 @@ def truncated_shift(preds: DataFrame) -> DataFrame:
     """
     d = preds.where("arm = 'combined' and model = 'boosted_trees' and scheme = 'LOEO' and end_reason_unblock is not null").where(is_finite(F.col("score")))
     shift = tests.rank_sum(d.where("y = 0"), "end_reason_unblock", "score").select(F.col("median_shift").alias("median_diff"), F.col("p_value").alias("wilcox_p"))
-    high = d.agg(F.percentile("score", 0.75).alias("q"))
+    high = quantiles(d, (), {"q": ("score", 0.75)})
     share = d.join(F.broadcast(high), F.col("score") > F.col("q")).where("y = 0").agg(F.avg((F.col("end_reason_unblock") == 1).cast("double")).alias("fp_share"))
     none = F.lit(None).cast("double")
     note = F.coalesce(F.format_string("share of truncated reads among high false positives = %.3f", F.round("fp_share", 6)), F.lit("no truncated reads known"))

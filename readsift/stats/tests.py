@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranks import quantiles, running
+
 
 def paired(a: DataFrame, b: DataFrame, fold: str = "fold", value: str = "value") -> DataFrame:
     """(fold, a, b, d) for the folds both have."""
@@ -90,12 +92,11 @@ def interaction(df: DataFrame, method: str = "method", group: str = "level_group
 def rank_sum(df: DataFrame, group: str, score: str) -> DataFrame:
     """Two-sample rank-sum test of ``score`` between rows with ``group`` 1 and 0: medians, W and p.
 
-    Mid-ranks come from counts of distinct scores, so the ordered window sees distinct scores only;
-    normal approximation with tie and continuity correction.
+    Mid-ranks come from running counts over distinct scores, which are spread over many tasks; normal
+    approximation with tie and continuity correction.
     """
     ties = df.where(F.col(group).isin(0, 1) & F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col(group) == 1).cast("long")).alias("n1"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = ties.withColumn("rank", before + (F.col("t") + 1) / 2.0)
+    r = running(ties, (), [F.col(score)], {"upto": F.col("t")}).withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2.0)
     t = F.col("t").cast("double")
     g = r.agg(F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum("n1").cast("double").alias("a"), F.sum(F.col("t") - F.col("n1")).cast("double").alias("b"), F.sum(t * t * t - t).alias("tie"))
     a, b = F.col("a"), F.col("b")
@@ -103,7 +104,8 @@ def rank_sum(df: DataFrame, group: str, score: str) -> DataFrame:
     w = F.col("r1") - a * (a + 1) / 2
     sd = F.sqrt(a * b / 12 * (n + 1 - F.col("tie") / (n * (n - 1))))
     z = F.greatest(F.abs(w - a * b / 2) - 0.5, F.lit(0.0)) / sd
-    med = df.agg(F.median(F.when(F.col(group) == 1, F.col(score))).alias("median_1"), F.median(F.when(F.col(group) == 0, F.col(score))).alias("median_0"))
+    two = df.select(F.when(F.col(group) == 1, F.col(score)).alias("one"), F.when(F.col(group) == 0, F.col(score)).alias("zero"))
+    med = quantiles(two, (), {"median_1": ("one", 0.5), "median_0": ("zero", 0.5)})
     out = g.select(a.cast("long").alias("n_1"), b.cast("long").alias("n_0"), w.alias("w"), (2 * (1 - normal_cdf(z))).alias("p_value"))
     return out.crossJoin(med).withColumn("median_shift", F.col("median_1") - F.col("median_0"))  # one row each
 
