@@ -34,14 +34,14 @@ def loto_folds(donors: DataFrame, species: DataFrame, donor: str = "donor", taxo
 def loto_masks(rows: DataFrame, folds: DataFrame, donors: DataFrame, donor: str = "donor", taxon: str = "species", label: str = "label") -> DataFrame:
     """Positives of the held-out taxon are tested and never trained on; donors are split between the parts.
 
-    A positive without a taxon is in neither part.
+    A positive without a taxon is in neither part. A single donor is always tested, with nothing to train on.
     """
-    place = loeo_folds(donors, donor).select(F.col("test_donor").alias("__d"), (F.col("fold") % 2).alias("__p"))
+    place = loeo_folds(donors, donor).select(F.col("test_donor").alias("__d"), (F.col("fold") % 2).alias("__p"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("__n"))
     d = rows.where(F.col(label).isin("positive", "negative")).join(F.broadcast(place), F.col(donor) == F.col("__d"))
     d = d.crossJoin(F.broadcast(folds))
-    test, held, neg = F.col("__p") == F.col("test_parity"), F.col(taxon) == F.col("test_species"), F.col(label) == "negative"
+    test, held, neg = (F.col("__p") == F.col("test_parity")) | (F.col("__n") == 1), F.col(taxon) == F.col("test_species"), F.col(label) == "negative"
     part = F.when(test & (neg | held), "test").when(~test & (neg | ~held), "train")
-    return d.withColumn("part", part).where("part is not null").drop("__d", "__p")
+    return d.withColumn("part", part).where("part is not null").drop("__d", "__p", "__n")
 
 
 def inner_groups(donors: Sequence[str], k: int, seed: int) -> list[list[str]]:

@@ -58,6 +58,9 @@ def label_library(target: DataFrame, hosts: Sequence[DataFrame], reads: DataFram
     )
 
 
-def library_features(labels: DataFrame, sources: Sequence[DataFrame | None]) -> DataFrame:
-    """``labels`` with the features of each read; sources that are None are left out. Read ids are unique."""
-    return feature_table(labels, [s for s in sources if s is not None])
+def library_features(labels: DataFrame, sources: Sequence[DataFrame | None], keys: Sequence[str] = ("read_id",)) -> DataFrame:
+    """``labels`` with the features of each read; sources that are None are left out.
+
+    ``keys`` are unique in each source: with several libraries, (library_id, read_id).
+    """
+    return feature_table(labels, [s for s in sources if s is not None], keys)

@@ -28,15 +28,16 @@ def entropy_bits(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda a, x: a - (x / total) * F.log2(x / total))
 
 
-def margin_diversity(df: DataFrame, key: str, score: str, species: str, genus: str, ties: Sequence[str], n: int = 5, strict: bool = False) -> DataFrame:
+def margin_diversity(df: DataFrame, key: str | Sequence[str], score: str, species: str, genus: str, ties: Sequence[str], n: int = 5, strict: bool = False) -> DataFrame:
     """Margin of the best hit over other species and the taxon diversity of the top ``n``.
 
     A null species is an unmapped hit: it counts as one value in the distinct counts, is left out of
     the entropy, and makes the margin null; ``strict`` takes the margin over mapped hits only.
     """
-    t = top_n(df, [key], score, ties, n)
+    keys = [key] if isinstance(key, str) else [*key]
+    t = top_n(df, keys, score, ties, n)
     # The top n rows of a key are a bounded array; one shuffle serves ranking and aggregation.
-    g = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("hit_rank", F.col(species).alias("s"), F.col(genus).alias("g"), F.col(score).alias("v")))).alias("h"))
+    g = t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hit_rank", F.col(species).alias("s"), F.col(genus).alias("g"), F.col(score).alias("v")))).alias("h"))
     best = F.col("h")[0]
     other = F.filter("h", lambda x: x["s"] != best["s"])
     margin = best["v"] - F.when(F.size(other) > 0, F.array_max(F.transform(other, lambda x: x["v"]))).otherwise(0.0)
@@ -44,7 +45,7 @@ def margin_diversity(df: DataFrame, key: str, score: str, species: str, genus: s
     names = F.filter(F.transform("h", lambda x: x["s"]), lambda s: s.isNotNull())
     counts = F.transform(F.array_distinct(names), lambda s: F.size(F.filter(names, lambda t: t == s)).cast("double"))
     return g.select(
-        key,
+        *keys,
         best["s"].alias("top_species"),
         (F.when(best["s"].isNotNull(), margin) if strict else F.when(~unmapped, margin)).alias("bitscore_margin_species"),
         F.size(F.array_distinct(F.transform("h", lambda x: x["s"]))).cast("long").alias("n_species_topn"),

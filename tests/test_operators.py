@@ -75,6 +75,28 @@ def test_label_library(spark, tmp_path):
     assert {r.read_id: r.human_bitscore for r in full.collect()}["r_human"] == 105 and full.count() == 8
 
 
+def test_features_of_several_libraries(spark):
+    """One read id in two libraries keeps its features apart."""
+    keys = ("library_id", "read_id")
+    lab = spark.createDataFrame([("L1", "r", "positive"), ("L2", "r", "negative"), ("L2", "s", "negative")], "library_id string, read_id string, label string")
+    paf_rows = spark.createDataFrame([("L1", "r", 10.0, 0.9, 0), ("L2", "r", 20.0, 0.8, 1), ("L2", "r", 15.0, 0.7, 2)], "library_id string, qname string, score double, identity double, _ord long")
+    qc = spark.createDataFrame([("L1", "r", 100.0), ("L2", "r", 200.0), ("L2", "s", 300.0)], "library_id string, read_id string, read_len double")
+    why = spark.createDataFrame([("L1", "r", "Data_Service_UNBLOCK_mux_change"), ("L2", "r", "signal_positive")], "library_id string, read_id string, end_reason string")
+    seqs = spark.createDataFrame([("L1", "r", "GGGGCC"), ("L2", "r", "ACGT")], "library_id string, read_id string, sequence string")
+    full = library.library_features(lab, [features.competitor_features(paf_rows, ["library_id"]), features.qc_features(qc, why, seqs, keys)], keys)
+    got = {(r.library_id, r.read_id): r for r in full.collect()}
+    assert len(got) == 3
+    a, b, c = got["L1", "r"], got["L2", "r"], got["L2", "s"]
+    assert (a.human_bitscore, b.human_bitscore, c.human_bitscore) == (10, 20, None)
+    assert (a.read_len, b.read_len, a.end_reason_unblock, b.end_reason_unblock, c.end_reason_unblock) == (100, 200, 1, 0, 0)
+    assert (a.gc, b.gc, c.gc, c.dust_score) == (1.0, 0.5, None, None)
+    assert a.dust_score is not None and a.homopolymer_frac is not None
+    bare = features.qc_features(qc.withColumn("gc", F.lit(0.25)), keys=keys).collect()
+    assert {(r.gc, r.end_reason_unblock, r.dust_score) for r in bare} == {(0.25, None, None)}
+    kept = features.qc_features(qc.withColumn("gc", F.lit(0.25)), None, seqs, keys).collect()
+    assert {r.gc for r in kept} == {0.25}
+
+
 def test_poisson_and_leakage(spark):
     ab = spark.createDataFrame([("high", 0.5), ("low", 0.0001)], "species string, rel_abundance double")
     d = spark.createDataFrame([("a", "high", 10.0, "positive"), ("b", "low", 10.0, "positive"), ("c", None, 10.0, "negative")], "read_id string, species string, concentration double, label string")
@@ -203,6 +225,8 @@ def test_folds(spark):
     for f in {x.fold for x in t}:
         parts = [{x.donor for x in t if x.fold == f and x.part == p} for p in ("train", "test")]
         assert not parts[0] & parts[1]
+    alone = r.where("donor = 'D0'")
+    assert {(x.fold, x.part) for x in folds.loto_masks(alone, folds.loto_folds(alone, alone), alone).collect()} == {(1, "test"), (2, "test")}
     g = folds.inner_groups(["a", "b", "c", "d", "e"], 3, 1)
     assert sorted(itertools.chain(*g)) == list("abcde") and folds.inner_groups(["a"], 3, 1) == [["a"]]
     w = folds.balance_weights(spark.createDataFrame([("D1",)] * 2 + [("D2",)] * 4, "donor string"), ["donor"]).collect()
