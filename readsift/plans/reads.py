@@ -310,6 +310,32 @@ def feature_outer_union(spark, d):
     return features.outer_union([a, b, c, e])
 
 
+@query("""WITH h AS (SELECT l_orderkey, max(l_extendedprice) FILTER (l_linenumber <= 3) AS human, max(l_extendedprice) FILTER (l_linenumber > 3) AS best FROM lineitem GROUP BY 1)
+SELECT 'L' || (o_orderkey % 4) AS library_id, 'r' || (o_orderkey // 4) AS read_id, o_orderstatus AS label, human AS human_bitscore, best AS bitscore, round(human - best, 4) AS human_minus_best_margin,
+       CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS read_len, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 5 <> 0 AND o_orderstatus = 'F')::INT END AS end_reason_unblock,
+       CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 THEN round((length(o_orderpriority) - length(translate(upper(o_orderpriority), 'GC', ''))) / length(o_orderpriority), 6) END AS gc,
+       o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 AS has_complexity
+FROM orders LEFT JOIN h ON l_orderkey = o_orderkey""")
+def library_feature_table(spark, d):
+    """Features of several libraries that share read ids, with incomplete statistics, end reasons and sequences."""
+    keys = ("library_id", "read_id")
+    at = lambda c: (F.concat(F.lit("L"), F.col(c) % 4).alias("library_id"), F.concat(F.lit("r"), F.expr(f"{c} div 4")))
+    lib, read = at("o_orderkey")
+    o = table(spark, d, "orders").select("*", lib, read.alias("read_id"))
+    lib, read = at("l_orderkey")
+    hits = table(spark, d, "lineitem").select(lib, read.alias("qname"), F.col("l_extendedprice").alias("score"), F.col("l_discount").alias("identity"), F.col("l_linenumber").alias("_ord"))
+    human = features.competitor_features(hits.where("_ord <= 3"), ["library_id"]).drop("human_pident")
+    best = hits.where("_ord > 3").groupBy("library_id", F.col("qname").alias("read_id")).agg(F.max("score").alias("bitscore"))
+    reasons = o.where("o_orderkey % 5 <> 0").select(*keys, F.when(F.col("o_orderstatus") == "F", "data_service_unblock").otherwise("signal").alias("end_reason"))
+    seqs = o.where("o_orderkey % 7 <> 0").select(*keys, F.col("o_orderpriority").alias("sequence"))
+    qc = features.qc_features(o.where("o_orderkey % 3 <> 0").select(*keys, F.col("o_totalprice").alias("read_len")), reasons, seqs, keys)
+    full = library.library_features(o.select(*keys, F.col("o_orderstatus").alias("label")), [human, best, None, qc], keys)
+    return full.select(
+        *keys, "label", "human_bitscore", "bitscore", R("human_minus_best_margin", 4).alias("human_minus_best_margin"), "read_len", "end_reason_unblock",
+        R("gc").alias("gc"), F.col("dust_score").isNotNull().alias("has_complexity"),
+    )
+
+
 @query("""SELECT page_id, regexp_replace(url, '\\s.*$', '') AS read_id, regexp_replace(url, '[:_].*$', '') AS contig_species,
        CASE WHEN page_id % 3 = 0 THEN 'Escherichia_coli_B' || page_id WHEN page_id % 3 = 1 THEN 'Candida_albicans' ELSE 'Strain_' || page_id END AS species,
        CASE WHEN page_id % 3 = 0 THEN 'Escherichia_coli' WHEN page_id % 3 = 1 THEN 'Candida_albicans' ELSE 'Strain_' || page_id END AS species_group FROM pages""")
