@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filters
+from . import conversation_trie, decontamination, licenses, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filters
 
-_MODULES = (quality_rules, simhash, substring_dedup, decontamination, quality_classifier, toxicity, sharding, mixing, url_filters, licenses)
+_MODULES = (quality_rules, simhash, substring_dedup, decontamination, quality_classifier, toxicity, sharding, mixing, url_filters, licenses, conversation_trie)
 
 
 def queries() -> dict:
