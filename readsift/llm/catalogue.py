@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import conversation_trie, decontamination, licenses, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filters, vector_codes
+from . import conversation_trie, decontamination, language_id, licenses, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filters, vector_codes
 
-_MODULES = (quality_rules, simhash, substring_dedup, decontamination, quality_classifier, toxicity, sharding, mixing, url_filters, licenses, conversation_trie, vector_codes)
+_MODULES = (quality_rules, simhash, substring_dedup, decontamination, quality_classifier, toxicity, sharding, mixing, url_filters, licenses, conversation_trie, vector_codes, language_id)
 
 
 def queries() -> dict:
