@@ -90,7 +90,7 @@ _STARTS = [a for a, _, _ in SCRIPTS]
 #: Up to here letters are of one script.
 LATIN = "\u024f"
 #: Letters, and the combining marks that may follow them.
-_RUN = re.compile(r"[^\W\d_][^\W\d_̀-ͯ]*(?:[̀-ͯ]+[^\W\d_]*)*")
+_RUN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 
 
 def script_of(letter: str) -> str:
