@@ -1,4 +1,4 @@
-"""Model families for grouped out-of-fold prediction, on Spark ML; the mixed model in numpy.
+"""Model families for grouped out-of-fold prediction: all folds at once (``Folds``), forests on Spark ML, the mixed model in numpy.
 
 Every model scores held-out donors only. A fold that fails is reported as a row with an error and
 no score, not as silent nulls.
@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -18,12 +18,30 @@ from pyspark.sql import functions as F
 
 from ..operators.folds import balance_weights, stratified_cap
 from ..operators.ranking import auprc
+from . import boosting, folded
 
 #: (max depth, learning rate, rounds) and (share of features, rows a leaf) that tuning tries (fixed values).
 BOOST_GRID = tuple((d, e, r) for d in (4, 6) for e in (0.1, 0.3) for r in (200, 400))
 FOREST_GRID = tuple((m, n) for m in (0.33, 0.66) for n in (5, 20))
 
 
+class Folds:
+    """A family that fits all folds at once; called as (train, test, features) it fits one."""
+
+    def __init__(self, scores: Callable[[folded.Folded, Sequence[str]], DataFrame]):
+        self.scores = scores
+
+    def __call__(self, train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataFrame:
+        none, one = F.array().cast("array<int>"), F.array(F.lit(1))
+        keep = [c for c in test.columns if c not in ("trains", "tests")]
+        both = train.select(*keep, one.alias("trains"), none.alias("tests")).unionByName(test.select(*keep, none.alias("trains"), one.alias("tests")))
+        return self.scores(folded.prepare(both, features, keep), keep)
+
+
+fixed_threshold = Folds(folded.fixed_threshold)
+glm = Folds(folded.glm)
+
+
 def imputed(train: DataFrame, test: DataFrame, features: Sequence[str], indicators: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
     """Nulls become the train median (0 without one); ``indicators`` adds a 0/1 column for each feature.
 
@@ -47,34 +65,13 @@ def _spark(make: Callable, indicators: bool = False) -> Callable:
     return run
 
 
-def _logit(n: int):
-    return LogisticRegression(featuresCol="__x", labelCol="y", weightCol="weight", regParam=0.0, maxIter=30)
-
-
-def fixed_threshold(train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The feature and sign with the best train average precision, scaled to a probability by a logistic fit.
-
-    All candidates are ranked in one job; the first of equals wins. Without one the score is 0.5.
-    """
-    each = F.explode(F.array(*[F.struct(F.lit(i * 2 + k).alias("i"), (sign * F.col(f)).cast("double").alias("v")) for i, f in enumerate(features) for k, sign in enumerate((1, -1))]))
-    long = train.select("read_id", "y", each.alias("c")).select("read_id", "y", "c.i", "c.v")
-    best = auprc(long, ["i"], "y", "v", ["read_id"]).where("auprc is not null").orderBy(F.desc("auprc"), "i").first()
-    if best is None:
-        return test.withColumn("score", F.lit(0.5))
-    f = features[best.i // 2]
-    return _spark(_logit)(train, test, [f])
-
-
-glm = _spark(_logit)
-
-
 def forest(trees: int = 500, share: float = 0.5, leaf: int = 10, seed: int = 1729) -> Callable:
     return _spark(lambda n: RandomForestClassifier(featuresCol="__x", labelCol="y", weightCol="weight", numTrees=trees, featureSubsetStrategy=str(max(1, round(share * n))), minInstancesPerNode=leaf, maxDepth=10, seed=seed))
 
 
-def boosted(depth: int = 6, rate: float = 0.1, rounds: int = 300, seed: int = 1729) -> Callable:
-    """Gradient-boosted trees; missing values reach the trees through indicator columns."""
-    return _spark(lambda n: GBTClassifier(featuresCol="__x", labelCol="y", weightCol="weight", maxDepth=depth, stepSize=rate, maxIter=rounds, seed=seed), indicators=True)
+def boosted(depth: int = 6, rate: float = 0.1, rounds: int = 300) -> Folds:
+    """Histogram boosting with class weight; missing values take the side that each split has learned."""
+    return Folds(boosting.boosted(boosting.Boost(depth, rate, rounds)))
 
 
 def fit_glmm(x: np.ndarray, y: np.ndarray, groups: Sequence[np.ndarray], rounds: int = 20) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
@@ -150,6 +147,9 @@ def out_of_fold(table: DataFrame, features: Sequence[str], model: str | Callable
     One model a donor is the definition of the scheme; donors are few.
     """
     fit = MODELS[model] if isinstance(model, str) else model
+    if isinstance(fit, Folds):
+        t = folded.loeo(table, donor)
+        return fit.scores(folded.prepare(t, features, keep, donor), keep).select(*keep, "fold", "score", "error")
     donors = [r[0] for r in table.select(donor).distinct().orderBy(donor).collect()]
     parts = []
     for i, d in enumerate(donors, 1):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.folds import balance_weights, inner_groups, loto_folds, loto_masks
-from . import models
+from . import folded, models
 
 KEEP = ("read_id", "donor", "titration_level", "species", "y", "end_reason_unblock")
 #: A model, or the candidates among which the inner folds choose.
@@ -57,10 +57,15 @@ def leave_one_donor_out(table: DataFrame, arms: Mapping[str, Sequence[str]], fam
     """Predictions of every arm and family for each held-out donor (scheme LOEO)."""
     t, parts = usable(table), []
     donors = donors_of(t)
+    names = lambda arm, m: (F.lit(arm).alias("arm"), F.lit(m).alias("model"), F.lit("LOEO").alias("scheme"))
     for arm, features in arms.items():
+        whole = {m: f for m, f in families.items() if isinstance(f, models.Folds)}
+        if whole:
+            f = folded.prepare(folded.loeo(t), features, KEEP)
+            parts += [fit.scores(f, KEEP).select(*KEEP, *names(arm, m), "fold", "score", "error") for m, fit in whole.items()]
         for i, d in enumerate(donors, 1):
             train, test = t.where(F.col("donor") != d), t.where(F.col("donor") == d)
-            parts += [one_fold(train, test, features, f, _inner(donors, d, k, seed), arm=arm, model=m, scheme="LOEO", fold=i) for m, f in families.items()]
+            parts += [one_fold(train, test, features, f, _inner(donors, d, k, seed), arm=arm, model=m, scheme="LOEO", fold=i) for m, f in families.items() if m not in whole]
     return reduce(DataFrame.unionByName, parts)
 
 
