@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.folds import balance_weights, inner_groups, loto_folds, loto_masks
-from . import folded, models
+from . import folded, models, store
 
 KEEP = ("read_id", "donor", "titration_level", "species", "y", "end_reason_unblock")
 #: A model, or the candidates among which the inner folds choose.
@@ -99,22 +99,31 @@ def inner_scores(table: DataFrame, arm: str, features: Sequence[str], families:
 
 def run(
     table: DataFrame, arms: Mapping[str, Sequence[str]], families: Mapping[str, Family], blocks: Mapping[str, Sequence[str]], ablations: Mapping[str, Sequence[str]],
-    sources: Mapping[str, str | None], best: str = "boosted_trees", arm: str = "combined", loto: bool = True,
+    sources: Mapping[str, str | None], best: str = "boosted_trees", arm: str = "combined", loto: bool = True, into: str | None = None,
 ) -> DataFrame:
     """All predictions of the study: arms by families, ablations and held-out taxa of ``best``, and the mixed
     model once for each species source (a column, or None for the donor term alone).
 
-    An ablation that drops no feature and a source whose column is missing are left out.
+    An ablation that drops no feature and a source whose column is missing are left out. With ``into``, each
+    part is written there as soon as it is made (see ``store``), and what is stored is returned.
     """
-    parts = [leave_one_donor_out(table, arms, families)]
+    parts: list[DataFrame] = []
+
+    def done(part: DataFrame) -> None:
+        parts.append(part)
+        if into is not None:
+            store.save(part, into)
+
+    done(leave_one_donor_out(table, arms, families))
     cut = {f"{arm}_minus_{k}": ablated(arms[arm], blocks, drop) for k, drop in ablations.items()}
     cut = {k: v for k, v in cut.items() if len(v) < len(arms[arm])}
     if cut:
-        parts.append(leave_one_donor_out(table, cut, {best: families[best]}))
+        done(leave_one_donor_out(table, cut, {best: families[best]}))
     if loto:
         taxa = leave_one_taxon_out(table, arm, arms[arm], best, families[best])
-        parts += [taxa] if taxa is not None else []
+        if taxa is not None:
+            done(taxa)
     mixed = {f"glmm_{k}": models.glmm(("donor",) if c is None else ("donor", c)) for k, c in sources.items() if c is None or c in table.columns}
     if mixed:
-        parts.append(leave_one_donor_out(table, {arm: arms[arm]}, mixed))
-    return reduce(DataFrame.unionByName, parts)
+        done(leave_one_donor_out(table, {arm: arms[arm]}, mixed))
+    return reduce(DataFrame.unionByName, parts) if into is None else store.load(table.sparkSession, into)

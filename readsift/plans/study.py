@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..ml import models, run
+from ..ml import models, run, store
 from ..operators import ranking
-from ..session import table
+from ..session import scratch, table
 from ..stats import study
-from .bridge import LEVELS
+from .bridge import LEVELS, PREDICTIONS_SQL, predictions
 from .evaluation import _WIL, metric_sql, rounded
 from .learning import FEATURES, training_table
 
@@ -91,10 +91,21 @@ def model_run(spark, d):
     """Rows, scores and failures of a whole run by arm, model, scheme and fold, with the logistic model in all roles."""
     t = run_table(spark, d).persist()  # read once for all folds; labelled rows only
     arms = {"combined": FEATURES, "length_only": list(BLOCKS["length"])}
-    p = run.run(t, arms, {"glm": models.glm}, BLOCKS, {"shares": ["shares"], "nothing": []}, {"none": None, "truth": "species", "absent": "no_such_column"}, best="glm")
+    p = run.run(t, arms, {"glm": models.glm}, BLOCKS, {"shares": ["shares"], "nothing": []}, {"none": None, "truth": "species", "absent": "no_such_column"}, best="glm", into=scratch(spark))
     return p.groupBy("arm", "model", "scheme", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("n_pos"), F.count("score").alias("n_scored"), F.count("error").alias("n_failed"))
 
 
+def stored_read_calls(spark, d):
+    """Predictions are stored, one model's folds are replaced, and its calls exported beside the taxa of the reads."""
+    path = scratch(spark)
+    p = predictions(spark, d)
+    store.save(p.withColumn("score", F.when(F.col("model") == "mixed", F.lit(0.0)).otherwise(F.col("score"))), path)
+    store.save(p.where("model = 'mixed'"), path)
+    taxon = F.when(F.col("doc_id") % 7 == 0, "NA").when(F.col("doc_id") % 5 != 0, F.col("source"))
+    taxa = table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), taxon.alias("top_species"), F.col("lang").alias("top_genus")).where("read_id % 3 <> 0")
+    return store.in_export_order(store.export_read_calls(spark, path, taxa, "combined", "mixed"))
+
+
 def run_inner_scores(spark, d):
     """Inner average precision of the logistic model for each held-out donor."""
     t = run_table(spark, d).persist()
@@ -140,8 +151,15 @@ pr AS (
   JOIN sv b ON b.metric = de.metric AND b.arm = arm_b AND b.model = model_b AND b.level = level_b AND b.scheme = 'LOEO' AND b.fold = a.fold)"""
 _EXACT = _WIL[_WIL.index("nz AS") :]
 
-QUERIES = {f.__name__: f for f in (study_contrasts, study_hypotheses, study_mixed_supplement, study_choice, model_run, run_inner_scores)}
+QUERIES = {f.__name__: f for f in (study_contrasts, study_hypotheses, study_mixed_supplement, study_choice, model_run, stored_read_calls, run_inner_scores)}
 ORACLES = {
+    "stored_read_calls": f"""WITH {PREDICTIONS_SQL},
+p AS (SELECT * FROM preds WHERE arm = 'combined' AND model = 'mixed'),
+thr AS (SELECT quantile_cont(score, 0.05) AS t FROM p WHERE y = 1)
+SELECT p.read_id, donor, titration_level, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN source END AS called_taxon, lang AS called_genus, species AS true_species,
+       CASE WHEN y = 1 THEN 'positive' ELSE 'negative' END AS ground_truth, score AS model_score, CASE WHEN score >= t THEN 'positive' ELSE 'negative' END AS model_call,
+       (y = 1) = (score >= t) AS correct
+FROM p LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) ON doc_id = p.read_id, thr""",
     "study_contrasts": f"WITH {STUDY_SQL}, {_DESIGN_SQL}, {_EXACT} SELECT de.id, family, comparison, coalesce(nf, 0) AS n_folds, round(md, 6) AS median_diff, round(p_value, 9) AS wilcox_p FROM de LEFT JOIN (SELECT id, count(*) AS nf, median(d) AS md FROM pr GROUP BY 1) USING (id) LEFT JOIN wx USING (id)",
     "study_choice": f"WITH {STUDY_SQL} SELECT f AS family, t AS tree, s AS single FROM ch",
     # Counts of the run: donors D0 to D2 are folds 1 to 3; a taxon's fold tests the donors at odd or even places.
