@@ -8,15 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import carried, ranged
+
 
 def merge_intervals(df: DataFrame, key: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping and touching intervals of each key become one (gaps and islands)."""
-    before = Window.partitionBy(*key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    top = F.max(end).over(before)
-    d = df.withColumn("__new", F.when(top.isNull() | (F.col(start) > top), 1).otherwise(0))
-    d = d.withColumn("__island", F.sum("__new").over(upto))
-    return d.groupBy(*key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged")).drop("__island")
+    """Overlapping and touching intervals of each key become one (gaps and islands).
+
+    The largest end so far and the number of the island are carried over range partitions, so a key with most of
+    the intervals is no task of its own.
+    """
+    order = [F.col(start), F.col(end)]
+    same = df.groupBy(*key, start, end).agg(F.count(F.lit(1)).alias("__n"))  # repeats do not meet in one range
+    d = carried(ranged(same, key, order), key, order, "__top", F.col(end), "max", -1)
+    d = d.withColumn("__new", F.when(F.col("__top").isNull() | (F.col(start) > F.col("__top")), 1).otherwise(0))
+    d = carried(d, key, order, "__island", F.col("__new"))
+    return d.groupBy(*key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("__n").alias("n_merged")).drop("__island")
+
+
+def overlap_sweep(left: DataFrame, right: DataFrame, key: str, out: str = "in_region") -> DataFrame:
+    """``overlap_flag`` by one sweep over both sides: each is read once, no row is copied, no bins are chosen.
+
+    In the order of right starts and left ends, an interval meets some right one if the largest right end so far
+    reaches its start. That maximum is carried over range partitions. Rows of ``left`` need no id; null keys and
+    ends meet nothing.
+    """
+    h = F.xxhash64(*[c for c, kind in left.dtypes if "map<" not in kind and kind != "variant"])  # spreads rows with one end, or none
+    l = left.select(*[F.col(c).alias(f"l{i}") for i, c in enumerate(left.columns)], F.col(key).alias("__g"), F.col("start").alias("__s"), F.col("end").alias("__at"), F.lit(1).alias("__side"), h.alias("__h"))
+    known = right.where(f"`{key}` is not null and start is not null and `end` is not null")
+    r = known.groupBy(F.col(key).alias("__g"), F.col("start").alias("__at")).agg(F.max("end").alias("__to")).withColumn("__side", F.lit(0))
+    order = [F.col("__at"), F.col("__side"), F.col("__h")]
+    d = carried(ranged(l.unionByName(r, allowMissingColumns=True), ["__g"], order), ["__g"], order, "__top", F.col("__to"), "max")
+    meets = F.col("__g").isNotNull() & F.col("__at").isNotNull() & (F.col("__top") >= F.col("__s"))
+    return d.where("__side = 1").select(*[F.col(f"l{i}").alias(c) for i, c in enumerate(left.columns)], F.coalesce(meets, F.lit(False)).alias(out))
 
 
 def overlap_flag(left: DataFrame, right: DataFrame, key: str, out: str = "in_region", bin_size: int | None = None, ids: Sequence[str] = ("id",)) -> DataFrame:
@@ -42,8 +65,9 @@ def coverage(df: DataFrame, key: Sequence[str], start: str = "start", end: str =
     """Breadth and evenness (1 - Gini of per-position depth, gaps included) of each key's reference.
 
     Intervals are half-open and clamped to [0, length]; a reference without positive length gives
-    nulls, one without covered positions gives (0, 0). Depth comes from a sweep over +1/-1 events,
-    evenness from a Lorenz curve over depth levels, so windows see depth levels, not positions.
+    nulls, one without covered positions gives (0, 0). Depth comes from a sweep over +1/-1 events that is
+    carried over range partitions, evenness from a Lorenz curve over depth levels, so the only window of a
+    reference sees its depth levels, not its positions.
     """
     glen = F.col(length).cast("double")
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(glen, F.col(c).cast("double")))
@@ -52,9 +76,9 @@ def coverage(df: DataFrame, key: Sequence[str], start: str = "start", end: str =
     ok = d.where((F.col("__g") > 0) & (F.col("__e") > F.col("__s")))
     events = ok.select(*key, "__g", F.explode(F.array(F.struct(F.col("__s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("__e").alias("pos"), F.lit(-1).alias("d")), F.struct(F.lit(0.0).alias("pos"), F.lit(0).alias("d")))).alias("x"))
     at = events.groupBy(*key, "__g", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"))
-    order = Window.partitionBy(*key).orderBy("pos")
-    seg = at.withColumn("depth", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    seg = seg.withColumn("len", F.coalesce(F.lead("pos").over(order), F.col("__g")) - F.col("pos")).where("len > 0")
+    pos = [F.col("pos")]
+    seg = carried(carried(ranged(at, key, pos), key, pos, "depth", F.col("d")), key, pos, "next", F.col("pos"), "next")
+    seg = seg.withColumn("len", F.coalesce("next", "__g") - F.col("pos")).where("len > 0")
     level = seg.groupBy(*key, "__g", "depth").agg(F.sum("len").alias("len"))  # one row a depth
     up = Window.partitionBy(*key).orderBy("depth")
     mass = F.col("depth") * F.col("len")

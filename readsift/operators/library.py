@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import contig_species, read_id
 from .features import feature_table
-from .intervals import overlap_flag
+from .intervals import overlap_sweep
 from .labels import three_class
 from .topk import best_per_key
 
@@ -50,7 +50,7 @@ def label_library(target: DataFrame, hosts: Sequence[DataFrame], reads: DataFram
     ambiguous = F.lit(False)
     if regions is not None:
         at = d.withColumns({"start": F.col("zymo_tstart"), "end": F.col("zymo_tend")})
-        d = overlap_flag(at, regions.withColumnRenamed("tname", "zymo_tname"), "zymo_tname", "__in_region", ids=keys).drop("start", "end")
+        d = overlap_sweep(at, regions.withColumnRenamed("tname", "zymo_tname"), "zymo_tname", "__in_region").drop("start", "end")
         ambiguous = F.col("__in_region")
     label = three_class(F.col("zymo_ident"), F.col("zymo_cov"), F.col("zymo_score"), F.col("human_score"), ambiguous, min_identity, min_coverage, margin)
     return d.withColumn("label", label).drop("__in_region").select(

@@ -19,6 +19,38 @@ from pyspark.sql.window import Window
 from ..session import scratch
 
 
+def ranged(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows range-partitioned on (groups, order) and written, with their partition as ``__pid``."""
+    keys = [*[F.col(g) for g in groups], *order]
+    d = df.repartitionByRange(*(keys or [F.lit(0)])).withColumn("__pid", F.spark_partition_id())
+    path = scratch(df.sparkSession)
+    d.write.parquet(path)
+    return df.sparkSession.read.schema(d.schema).parquet(path)
+
+
+def carried(d: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str, value: Column, how: str = "sum", upto: int = 0) -> DataFrame:
+    """Add to ``ranged`` rows the running sum, maximum or next value in ``order``, for each of ``groups``, as ``out``.
+
+    ``how`` is sum or max, over the rows up to the one ``upto`` places away (0 this one, -1 the one before), or next, the
+    value of the following row. Rows that ``order`` does not tell apart stand in any one order. Each range partition
+    works alone; what it passes on is one value for each group that it touches. Nulls do not count; without any value
+    before a row a sum is 0 and a maximum null.
+    """
+    agg = {"sum": F.sum, "max": F.max, "next": lambda v: F.min_by(v, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))}[how]
+    over = agg if how != "next" else (lambda v: F.first(v))
+    part = d.groupBy("__pid", *groups).agg(agg(value).alias("__b"))
+    whole = Window.partitionBy(*groups).orderBy("__pid")
+    span = whole.rowsBetween(1, 1) if how == "next" else whole.rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(F.col("__pid").alias("__o"), *[F.col(g).alias(f"__w{i}") for i, g in enumerate(groups)], over("__b").over(span).alias("__b"))
+    here = Window.partitionBy("__pid", *groups).orderBy(*order)
+    here = here.rowsBetween(1, 1) if how == "next" else here.rowsBetween(Window.unboundedPreceding, upto)
+    own = over(F.struct(value.alias("__b")) if how == "next" else value).over(here)  # in a struct, a null that follows differs from no row
+    on = [F.col("__pid") == F.col("__o"), *[F.col(g).eqNullSafe(F.col(f"__w{i}")) for i, g in enumerate(groups)]]
+    joined = d.withColumn("__l", own).join(part, on)
+    both = {"sum": F.coalesce("__l", F.lit(0)) + F.coalesce("__b", F.lit(0)), "max": F.greatest("__l", "__b"), "next": F.coalesce("__l", F.struct("__b"))["__b"]}[how]
+    return joined.select(*[F.col(f"`{c}`") for c in d.columns], both.alias(out))
+
+
 def running(df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
     """Add for each name of ``sums`` the sum up to and with the row, and as ``<name>_all`` the group's sum.
 
@@ -26,11 +58,7 @@ def running(df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums:
     """
     names = list(sums)
     d = df.select("*", *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"__l{i}") for i, c in enumerate(sums.values())])
-    keys = [*[F.col(g) for g in groups], *order]
-    d = d.repartitionByRange(*(keys or [F.lit(0)])).withColumn("__pid", F.spark_partition_id())
-    path = scratch(df.sparkSession)
-    d.write.parquet(path)
-    d = df.sparkSession.read.schema(d.schema).parquet(path)
+    d = ranged(d, groups, order)
 
     part = d.groupBy("__pid", *groups).agg(*[F.sum(f"__l{i}").alias(f"__b{i}") for i in range(len(names))])
     whole = Window.partitionBy(*groups)

@@ -210,6 +210,12 @@ def interval_overlap_binned(spark, d):
     return intervals.overlap_flag(e, merge_intervals(spark, d), "user_id", ids=["event_id"], bin_size=21600).select("event_id", "in_region")
 
 
+@query(ORACLES["interval_overlap_flag"])
+def interval_overlap_sweep(spark, d):
+    e = _errors(spark, d)
+    return intervals.overlap_sweep(e, merge_intervals(spark, d), "user_id").select("event_id", "in_region")
+
+
 _COV = f"""WITH {_EV},
 c AS (SELECT user_id, least(2592000, greatest(0, start))::DOUBLE AS s, least(2592000, greatest(0, "end"))::DOUBLE AS e FROM ev),
 o AS (SELECT * FROM c WHERE e > s),
