@@ -80,15 +80,15 @@ def place_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     return r.withColumn("shard", F.element_at("to", F.size(F.filter("ends", lambda e: e <= F.col("rank"))) + 1)).drop("ends", "to", "rank")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text", source: str = "source", places: DataFrame | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text", at: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row.
 
-    Slots follow the groups, or, with ``places`` (doc_id, source, at), the rows' places ``at``.
+    Slots follow the groups, or the rows' places in column ``at``.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(
         F.col(id).alias("doc_id"),
-        *[F.col(source).alias("source")] * (places is not None),
+        *([F.col(at).alias("at")] if at else []),
         (F.octet_length(t) + OVERHEAD).cast("long").alias("size"),
         F.crc32(t).alias("text_crc32"),
         F.substring(F.unhex(F.sha2(t, 256)), 1, 16).alias("g"),
@@ -97,11 +97,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str =
     groups = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     placed = cut(place_groups(cut(groups, "groups"), shards).select("g", "n", "shard"), "placed")
     out = skewed_lookup(d, placed, "g", "n", d.count()).drop("n")
-    order = ["g", "doc_id"]
-    if places is not None:
-        p = places.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "at")
-        out = out.join(p, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-        order = ["at", *order]
+    order = [*(["at"] if at else []), "g", "doc_id"]
     out = out.select("size", "text_crc32", "shard", *order)
     return ranked(cut(out, "dealt"), order, "slot", within=["shard"], tag="slots").select("doc_id", "size", "text_crc32", "shard", "slot")
 

@@ -12,7 +12,7 @@ from readsift.llm import catalogue, decontamination, near_copies
 from readsift.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels conversations embeddings".split()
 #: Extra columns with names that the stages might use themselves.
 CLASHING = "slot shard hits _hits __hits __score score __row __at at __id __source __text _text block g fp component_id".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
