@@ -5,7 +5,7 @@ again as the next stage's docs. All but the last return the columns of ``docs``,
 extra columns pass through unread. Order: toxic documents go; one document of each group of near
 copies stays; documents that hold a benchmark item go; the rest is put in the order of the source
 mixture (rows sorted by the mixture's schedule, none dropped); documents are dealt to shards, whose
-slots follow that schedule. Read slot by slot over all shards, the corpus holds the target shares
+slots follow the order in which the mixing stage wrote them. Read slot by slot over all shards, the corpus holds the target shares
 until a source runs out.
 
 Defined results: rows with a null text pass the filters, as no text convicts them; in the near
@@ -16,6 +16,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,26 +52,32 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.size(hits) == 0).select(*docs.columns)
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, at): the place in the mixture, the first one of rows that repeat both."""
-    return mixing.mix_sources(docs).groupBy("doc_id", "source").agg(F.min(F.struct("slot", "row_in_block")).alias("at"))
-
-
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, sorted by their place in the mixture."""
+    """All documents, sorted by their place in the mixture: the order of the rows that the stage writes is its result."""
     i, s, at = (free(n, docs.columns) for n in ("id_", "source_", "at"))
-    of = places(docs).select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("at").alias(at))
+    place = F.min(F.struct("slot", "row_in_block")).alias(at)  # the first one of rows that repeat both
+    of = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias(i), F.col("source").alias(s)).agg(place)
     placed = docs.join(of, docs["doc_id"].eqNullSafe(F.col(i)) & docs["source"].eqNullSafe(F.col(s)), "left")
     return placed.repartitionByRange(at).sortWithinPartitions(at).select(*docs.columns)
 
 
-def deal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard, and its slot there in the order of the mixture.
+def written_order(docs: DataFrame, name: str) -> DataFrame:
+    """Add the place of each row in the files it is read from, as ``name``: number of the part, file, row.
 
-    Places depend on the documents' ids and sources alone, so they are computed again: the order of
-    the files that ``mix`` wrote is no contract of a reader.
+    Spark numbers the parts of a range-partitioned table in the order of their ranges. Null for rows of no file.
     """
-    out = sharding.shard(docs, places=places(docs))
+    try:
+        m = docs.metadataColumn("_metadata")
+        part = F.regexp_extract(m["file_name"], r"part-(\d+)", 1).try_cast("long")
+        return docs.select("*", F.struct(part.alias("part"), m["file_name"].alias("file"), m["row_index"].alias("row")).alias(name))
+    except AnalysisException:  # not a table of files
+        return docs.select("*", F.lit(None).cast("int").alias(name))
+
+
+def deal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's shard, and its slot there in the order in which the mixing stage wrote the documents."""
+    at = free("at", docs.columns)
+    out = sharding.shard(written_order(docs, at), at=at)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
