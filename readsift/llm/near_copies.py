@@ -191,28 +191,31 @@ def _apart(i: np.ndarray, j: np.ndarray, ok: np.ndarray, parent: np.ndarray, at_
         yield from zip(x[on].tolist(), y[on].tolist())
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, v, text) come sorted by group; a group's rows may span batches."""
-
-    def links(v: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        i, j = forest(sets)
-        of = np.array(v, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(of[i]), pa.array(of[j])], ["a", "b"])
-
-    now, v, sets = None, [], []
-    for b in batches:
-        for g, x, t in zip(b.column(0), b.column(1), b.column(2)):
-            if (g := g.as_py()) != now:
-                if len(v) > 1:
-                    yield links(v, sets)
-                now, v, sets = g, [], []
-            v.append(x.as_py())
-            sets.append(shingles(words(t.as_py())))
-    if len(v) > 1:
-        yield links(v, sets)
-
-
-def links(texts: DataFrame, distinct: DataFrame, block: int = BLOCK, load: int = LOAD) -> DataFrame:
+def _comparing(radius: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (g, v, text) come sorted by group; a group's rows may span batches."""
+
+        def links(v: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            i, j = forest(sets, radius)
+            of = np.array(v, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(of[i]), pa.array(of[j])], ["a", "b"])
+
+        now, v, sets = None, [], []
+        for b in batches:
+            for g, x, t in zip(b.column(0), b.column(1), b.column(2)):
+                if (g := g.as_py()) != now:
+                    if len(v) > 1:
+                        yield links(v, sets)
+                    now, v, sets = g, [], []
+                v.append(x.as_py())
+                sets.append(shingles(words(t.as_py())))
+        if len(v) > 1:
+            yield links(v, sets)
+
+    return compare
+
+
+def links(texts: DataFrame, distinct: DataFrame, block: int = BLOCK, load: int = LOAD, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the ids of ``distinct`` (v, n, first), whose texts are in ``texts`` (doc_id, b)."""
     entries = distinct.select("v", F.explode("first").alias("k"))
     # A shingle's texts are joined to their smallest id: one row each, however many there are.
@@ -230,13 +233,13 @@ def links(texts: DataFrame, distinct: DataFrame, block: int = BLOCK, load: int =
     g = F.when(F.col("c").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("component", F.least("x", "y"), F.greatest("x", "y")))
     # A clash of two groups' hashes only adds comparisons: links are decided on the sets.
     blocks = texts.join(pairs.select(F.col("v").alias("doc_id"), g.alias("g")), "doc_id").select("g", "doc_id", "b")
-    return blocks.repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(_compare, "a long, b long")
+    return blocks.repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(_comparing(radius), "a long, b long")
 
 
-def first_ids(docs: DataFrame, block: int = BLOCK, load: int = LOAD) -> DataFrame:
-    """doc_id: the smallest id of each group of near copies."""
+def first_ids(docs: DataFrame, block: int = BLOCK, load: int = LOAD, radius: int = RADIUS) -> DataFrame:
+    """doc_id: the smallest id of each group of near copies. A ``radius`` of 64 compares the sets of every pair in a block."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"))
     one = filed(texts).groupBy("key").agg(F.min(F.struct("doc_id", "n", "first")).alias("x"))
     distinct = cut(one.select(F.col("x.doc_id").alias("v"), "x.n", "x.first"), "distinct")
-    comp = connected_components(links(texts, distinct, block, load))
+    comp = connected_components(links(texts, distinct, block, load, radius))
     return distinct.select(F.col("v").alias("doc_id")).distinct().join(comp, F.col("doc_id") == comp["id"], "left_anti")

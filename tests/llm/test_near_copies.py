@@ -52,4 +52,5 @@ def test_stage_against_brute_force(spark, monkeypatch, block):
     want = brute(dict(enumerate(texts)))
     assert stay == want and len(want) < len(texts) - 60
     if block == near_copies.BLOCK:
+        assert {r.doc_id for r in near_copies.first_ids(docs, block, radius=64).collect()} == want
         assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == want
