@@ -11,6 +11,11 @@ lost. By Cauchy-Schwarz the squared weights of a template's words that a match h
 ``min_cosine``^2 or more. Files are held to that sum. Lines are held to having one of a template's
 weightiest words, those left when the lightest that sum to less are taken away.
 
+Neighbouring licences differ in a word or a number, which a cosine hardly sees. So a line and its template
+must have the same limiting words (``BARS``, such as NonCommercial, Lesser, not), and the line all names
+(``NAMES``) and version numbers of the template; a whole file must have the same ``TEXT_BARS``. A licence without a
+template is therefore none, not its neighbour.
+
 A file is a licence file if it is named like one, or if it is matched whole or by lines that hold
 half of its words. Its license holds for its directory. Files without a license of their own
 inherit from the nearest ancestor directory that has one: ancestors are resolved once for each
@@ -49,9 +54,16 @@ TEMPLATES = (
     ("BSD-3-Clause", "notice", "Use of this source code is governed by a BSD-style license."),
     ("CC-BY-4.0", "notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-4.0", "notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "notice", "This work has been dedicated to the public domain under CC0 1.0."),
     ("GPL-2.0", "notice", "GNU General Public License, version 2, June 1991"),
     ("GPL-3.0", "notice", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "notice", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "notice", "Licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "notice", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "notice", "Licensed under the GNU Affero General Public License, version 3."),
     ("ISC", "notice", "Released under the ISC License."),
@@ -88,6 +100,13 @@ TEMPLATES = (
 )
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENCE_NAME = "(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
+#: Words that limit or deny a licence, the short forms' long ones, and names that a template's line must have (fixed values).
+BARS = ("affero", "lesser", "library", "no", "noncommercial", "noderivatives", "not", "sharealike")
+SHORT = {"nc": "noncommercial", "nd": "noderivatives", "noderivs": "noderivatives", "sa": "sharealike"}
+NAMES = ("apache", "bsd", "cc0", "isc", "mit", "mozilla")
+TEXT_BARS = ("affero", "lesser", "noncommercial", "noderivatives", "sharealike")
+#: A version number: one digit, with further ones after points.
+VERSION = "^v?[0-9]([.][0-9])*$"
 #: The place of a file that is compared whole, in the column of lines.
 WHOLE = -1
 
@@ -102,10 +121,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
 
 
+def tells(words: Column, whole: Column) -> Column:
+    """(bars, must) of a line's or, where ``whole``, a file's tokens: see the module's text."""
+    parts = F.array_distinct(F.flatten(F.transform(words, lambda x: F.split(x, "-"))))
+    long = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
+    named = F.array_distinct(F.transform(parts, lambda x: F.coalesce(F.try_element_at(long, x), x)))
+    bars = F.array_join(F.sort_array(F.array_intersect(named, F.when(whole, F.array(*map(F.lit, TEXT_BARS))).otherwise(F.array(*map(F.lit, BARS))))), " ")
+    versions = F.transform(F.filter(words, lambda x: x.rlike(VERSION)), lambda x: F.regexp_replace(x, "^v|([.]0)+$", ""))
+    must = F.when(whole, F.array().cast("array<string>")).otherwise(F.array_union(F.array_intersect(parts, F.array(*map(F.lit, NAMES))), versions))
+    return F.struct(bars.alias("bars"), must.alias("must"))
+
+
 def template_terms(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(t, license, kind, term, tf): bounded by the templates given."""
+    """(t, license, kind, told, term, tf): bounded by the templates given."""
     rows = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "t int, license string, kind string, text string")
-    return rows.select("t", "license", "kind", F.explode(tokens(F.col("text"))).alias("term")).groupBy("t", "license", "kind", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = rows.withColumn("told", tells(tokens(F.col("text")), F.col("kind") == "text"))
+    return rows.select("t", "license", "kind", "told", F.explode(tokens(F.col("text"))).alias("term")).groupBy("t", "license", "kind", "told", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(files: DataFrame) -> DataFrame:
@@ -114,15 +145,15 @@ def document_frequencies(files: DataFrame) -> DataFrame:
 
 
 def unit_vectors(terms: DataFrame, df: DataFrame) -> DataFrame:
-    """(t, license, kind, term, u) of the templates, of length one each."""
+    """(t, license, kind, told, term, u) of the templates, of length one each."""
     n = df.where("term = ''").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"))
     x = terms.join(df, "term", "left").crossJoin(F.broadcast(n))  # one row
     x = x.withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1))
-    return x.select("t", "license", "kind", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("t")))).alias("u"))
+    return x.select("t", "license", "kind", "told", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("t")))).alias("u"))
 
 
 def units(files: DataFrame, unit: DataFrame, scan: Scan = Scan()) -> DataFrame:
-    """(rid, line, n_words, file_words, term, tf) of the lines and whole files that can match."""
+    """(rid, line, n_words, file_words, tells, term, tf) of the lines and whole files that can match."""
     least = scan.min_cosine**2 - 1e-9
     rising = Window.partitionBy("t").orderBy("u", "term").rowsBetween(Window.unboundedPreceding, 0)
     weighty = unit.where("kind = 'notice'").withColumn("c", F.sum(F.col("u") * F.col("u")).over(rising)).where(F.col("c") >= least)
@@ -140,8 +171,9 @@ def units(files: DataFrame, unit: DataFrame, scan: Scan = Scan()) -> DataFrame:
     fits = (F.size("common") > 0) & F.exists("texts", lambda x: weight(x) >= least)
     whole = F.when(fits, F.array(F.struct(F.lit(WHOLE).alias("line"), F.col("words").alias("w")))).otherwise(F.array().cast("array<struct<line: int, w: array<string>>>"))
     found = d.select("rid", F.size("words").alias("file_words"), F.inline(F.concat(lines, whole)))
-    t = found.select("rid", "line", F.size("w").alias("n_words"), "file_words", F.explode("w").alias("term"))
-    return t.groupBy("rid", "line", "n_words", "file_words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = materialise(found, tells=tells(F.col("w"), F.col("line") == WHOLE))
+    t = found.select("rid", "line", F.size("w").alias("n_words"), "file_words", "tells", F.explode("w").alias("term"))
+    return t.groupBy("rid", "line", "n_words", "file_words", "tells", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def scan_units(files: DataFrame, terms: DataFrame, scan: Scan = Scan()) -> DataFrame:
@@ -154,7 +186,9 @@ def scan_units(files: DataFrame, terms: DataFrame, scan: Scan = Scan()) -> DataF
     x = even_lookup(tf, idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     x = cut(x.withColumn("kind", F.when(F.col("line") == WHOLE, "text").otherwise("notice")), "weighed")
     at = ["rid", "line", "n_words", "file_words"]
-    dot = x.join(F.broadcast(unit), ["kind", "term"]).groupBy(*at, "t", "license").agg(F.sum(F.col("x") * F.col("u")).alias("dot"))
+    # Pairs that the telling words part are left out before they are summed.
+    fits = (F.col("told.bars") == F.col("tells.bars")) & (F.size(F.array_except("told.must", "tells.must")) == 0)
+    dot = x.join(F.broadcast(unit), ["kind", "term"]).where(fits).groupBy(*at, "t", "license").agg(F.sum(F.col("x") * F.col("u")).alias("dot"))
     norm = x.groupBy("rid", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     cos = dot.join(norm, ["rid", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= scan.min_cosine)
     best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license")))
@@ -207,6 +241,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql(scan: Scan = Scan()) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {', '.join(map(quoted, x))})" for i, x in enumerate(TEMPLATES))
+    among = lambda names: f"[{', '.join(map(quoted, names))}]"
+    parts = "flatten(list_transform(w, lambda x: string_split(x, '-')))"
+    long = f"list_transform({parts}, lambda x: CASE x {' '.join(f'WHEN {quoted(a)} THEN {quoted(b)}' for a, b in SHORT.items())} ELSE x END)"
+    bars = f"list_sort(list_distinct(list_filter({long}, lambda x: list_contains(CASE kind WHEN 'text' THEN {among(TEXT_BARS)} ELSE {among(BARS)} END, x))))"
+    versions = f"list_transform(list_filter(w, lambda x: regexp_matches(x, '{VERSION}')), lambda x: regexp_replace(x, '^v|([.]0)+$', '', 'g'))"
+    must = f"CASE kind WHEN 'text' THEN [] ELSE list_concat(list_filter({parts}, lambda x: list_contains({among(NAMES)}, x)), {versions}) END"
     return f"""
 WITH tpl(t, license, kind, text) AS (VALUES {values}),
 f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, text FROM documents),
@@ -220,11 +260,15 @@ unit AS (SELECT t, license, kind, term, x / sqrt(sum(x * x) OVER (PARTITION BY t
 ln_ AS (SELECT doc_id, unnest(range(0, len(a))) AS line, unnest(a) AS l, 'notice' AS kind FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
         UNION ALL SELECT doc_id, -1, text, 'text' FROM documents WHERE text IS NOT NULL),
 lt AS (SELECT doc_id, line, kind, regexp_extract_all(lower(l), '{TOKEN}') AS w FROM ln_),
+told AS (SELECT t, {bars} AS bars, {must} AS must FROM (SELECT t, kind, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM tpl)),
+tells AS (SELECT doc_id, line, {bars} AS bars, {must} AS must FROM lt),
 tf AS (SELECT doc_id, line, kind, n_words, term, count(*) AS tf FROM (SELECT doc_id, line, kind, len(w) AS n_words, unnest(w) AS term FROM lt) GROUP BY ALL),
 tw AS (SELECT tf.*, tf.tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS x FROM tf JOIN df USING (term), n),
 norm AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM tw GROUP BY ALL),
 dot AS (SELECT doc_id, line, n_words, t, license, sum(x * u) AS dot FROM tw JOIN unit USING (kind, term) GROUP BY ALL),
-cos AS (SELECT doc_id, line, n_words, license, round(dot / norm, 9) AS c FROM dot JOIN norm USING (doc_id, line) WHERE round(dot / norm, 9) >= {scan.min_cosine}),
+cos AS (SELECT doc_id, line, n_words, license, round(dot / norm, 9) AS c
+        FROM dot JOIN norm USING (doc_id, line) JOIN told USING (t) JOIN tells USING (doc_id, line)
+        WHERE told.bars = tells.bars AND list_has_all(tells.must, told.must) AND round(dot / norm, 9) >= {scan.min_cosine}),
 best AS (SELECT doc_id, line, n_words, license, c FROM cos QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY c DESC, license) = 1),
 own AS (
   SELECT doc_id, license, c, line, sum(n_words) OVER (PARTITION BY doc_id) AS matched FROM best

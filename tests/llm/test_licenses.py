@@ -35,6 +35,34 @@ def test_licenses(spark):
     assert scan(spark, []) == []
 
 
+def test_neighbours_are_told_apart(spark):
+    """A word or number that changes a licence decides, whatever the cosine."""
+    lines = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License": "CC-BY-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License": None,
+        "Use of this source code is governed by a GPL-style license.": None,
+        "Use of this source code is governed by a BSD-style license.": "BSD-3-Clause",
+        "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "Licensed under the GNU Lesser General Public License, version 9.": None,
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.0": "GPL-3.0",
+        "Licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "This is not released under the MIT License.": None,
+        "1. Released under the MIT License.": "MIT",
+        "Released under the ISC License.": "ISC",
+        "Licensed under CC BY-SA 4.0.": None,
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    }
+    rows = [(i, f"d{i}/x.txt", t) for i, t in enumerate(lines)] + [(100 + i, f"e/{i}", "some other words of no weight here") for i in range(30)]
+    r = {x.id: x.license for x in scan(spark, rows) if x.id < 100}
+    assert {t: r[i] for i, t in enumerate(lines)} == lines
+
+
 def test_rows_without_ids_and_repeats(spark):
     rows = [(None, "a/x.txt", "Released under the MIT License."), (None, "b/x.txt", "plain words"), (1, "c/x.txt", "Released under the MIT License."), (1, "c/y.txt", "Licensed under CC BY-NC 4.0."), (1, "c/y.txt", "Licensed under CC BY-NC 4.0."), (None, None, None)]
     got = sorted((r.path or "", r.license or "", r.effective_license or "") for r in scan(spark, rows))
