@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, folds, ranking, samples
 from ..session import table
-from ..stats import tests
+from ..stats import mixed, resample, tests
 from .bridge import HITS_SQL, PREDICTIONS_SQL, labels_sql, predictions
 from .bridge import labels as order_labels
+from .inference import bootstrap_sql, mixed_sql
 from .reads import expected_samples, floored_labels
 
 QUERIES, ORACLES = {}, {}
@@ -397,21 +398,23 @@ def hypothesis_table(spark, d):
     return compare.hypothesis_table(r, _order(spark))
 
 
-@query(None)
+@query(f"{_PAIRS}, {bootstrap_sql('pr')} SELECT id, n AS n_folds, round(median_diff, 6) AS median_diff, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM ci")
 def bootstrap_ci(spark, d):
-    rows = {}
-    for r in fold_pairs(spark, d).select("id", "d").collect():  # one row a fold
-        rows.setdefault(r.id, []).append(r.d)
-    out = [(k, len(v), *tests.bootstrap_ci(sorted(v))) for k, v in sorted(rows.items())]
-    return spark.createDataFrame(out, "id string, n_folds int, median_diff double, ci_lo double, ci_hi double")
+    """Percentile intervals of the median paired differences, with draws that SQL makes alike."""
+    b = resample.median_intervals(fold_pairs(spark, d), ["id"]).withColumnRenamed("n", "n_folds")
+    return rounded(b, "median_diff", "ci_lo", "ci_hi")
 
 
-@query(None)
+@query(f"""WITH {PREDICTIONS_SQL}, {metric_sql("model, fold, titration_level", "(SELECT * FROM preds WHERE arm = 'combined')", (0.95,))},
+mi AS (SELECT 'mixed-size' AS id, fold AS g, auprc AS y, (model = 'mixed')::INT::DOUBLE AS x1 FROM met WHERE model IN ('mixed', 'size')), {mixed_sql('mi', 1)}
+SELECT id, round(estimate, 6) AS mixed_estimate, round(p_value, 9) AS mixed_p, n AS n_units, CASE WHEN estimate IS NULL THEN 'none' ELSE 'reml' END AS engine FROM mi_fit""")
 def mixed_supplement(spark, d):
-    m = ranking.auprc(predictions(spark, d).where("arm = 'combined'"), ["model", "fold", "titration_level"], "y", "score", ["read_id"])
-    rows = [(str(r.fold), r.model, r.auprc) for r in m.collect()]  # one row a fold, model and level
-    e = tests.mixed_effect(rows)
-    return spark.createDataFrame([("mixed-size", e["estimate"], e["p_value"], e["n"], e["engine"])], "id string, mixed_estimate double, mixed_p double, n_units int, engine string")
+    """The gain of the mixed score over size over folds and levels, with a random intercept a fold."""
+    m = ranking.auprc(predictions(spark, d).where("arm = 'combined' and model in ('mixed', 'size')"), ["model", "fold", "titration_level"], "y", "score", ["read_id"])
+    m = m.select(F.lit("mixed-size").alias("id"), "fold", (F.col("model") == "mixed").alias("treated"), "auprc")
+    e = mixed.mixed_effect(m, ["id"], "fold", "treated", "auprc")
+    e = e.select("id", F.col("estimate").alias("mixed_estimate"), F.col("p_value").alias("mixed_p"), F.col("n").alias("n_units"), "engine")
+    return rounded(rounded(e, "mixed_estimate"), "mixed_p", k=9)
 
 
 __all__ = ["QUERIES", "ORACLES", "expected_samples", "floored_labels"]

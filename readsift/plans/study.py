@@ -10,6 +10,7 @@ from ..session import scratch, table
 from ..stats import study
 from .bridge import LEVELS, PREDICTIONS_SQL, predictions
 from .evaluation import _WIL, metric_sql, rounded
+from .inference import bootstrap_sql, mixed_sql
 from .learning import FEATURES, training_table
 
 #: Share of signal in the score of each arm, model and scheme (fixed values of the view below).
@@ -63,11 +64,13 @@ def study_contrasts(spark, d):
 def study_hypotheses(spark, d):
     """All rows H1 to H12 with intervals, adjusted p and significance."""
     m = study_metrics(spark, d).persist()  # a row a metric
-    return study.hypothesis_rows(m, study_predictions(spark, d), study_calibration(spark, d))
+    h = study.hypothesis_rows(m, study_predictions(spark, d), study_calibration(spark, d))
+    return rounded(rounded(h, "median_diff", "ci_lo", "ci_hi"), "wilcox_p", "holm_sidak_p", k=9)
 
 
 def study_mixed_supplement(spark, d):
-    return study.mixed_supplement(study_metrics(spark, d).persist())
+    """H1, H2 and H4 over the rows of all folds and levels, with a random intercept a fold."""
+    return rounded(rounded(study.mixed_supplement(study_metrics(spark, d).persist()), "mixed_estimate"), "mixed_p", k=9)
 
 
 def study_choice(spark, d):
@@ -150,6 +153,39 @@ pr AS (
   FROM de JOIN sv a ON a.metric = de.metric AND a.arm = arm_a AND a.model = model_a AND a.level = level_a AND a.scheme = 'LOEO'
   JOIN sv b ON b.metric = de.metric AND b.arm = arm_b AND b.model = model_b AND b.level = level_b AND b.scheme = 'LOEO' AND b.fold = a.fold)"""
 _EXACT = _WIL[_WIL.index("nz AS") :]
+_LEVELS_SQL = metric_sql("arm, model, scheme, fold, titration_level", "sp", (0.95,), "ml").strip()
+_NOTES = ", ".join(f"('{k}', '{v}')" for k, v in (("H4", "tree family by inner scores"), ("H5", "margin and human blocks; breadth is H5b"), ("H9", "donor term alone"), ("H12", "positive: the model is better calibrated"), ("H5b", "needs coverage of cells"), *[(f"H9b_{x}", f"species source = {x}") for x in study.SOURCES]))
+_NOT_RUN = " UNION ALL ".join(f"SELECT '{k}', 'secondary', '{c}', NULL, NULL, NULL, NULL, NULL, '{n}'" for k, (c, n) in study.NOT_RUN.items())
+_ROWS_SQL = f"""
+{bootstrap_sql("pr", "bc")},
+md AS (SELECT id, count(*) AS nf, median(d) AS md FROM pr GROUP BY 1),
+sg AS (SELECT '; sign of GLMM - GLM by source {{' || string_agg(id || ':' || CASE WHEN sign(md) >= 0 THEN '+' ELSE '' END || sign(md)::INT, ', ' ORDER BY id) || CASE WHEN count(DISTINCT sign(md)) FILTER (md <> 0) <= 1 THEN '}} -> ROBUST' ELSE '}} -> SOURCE-DEPENDENT' END AS t FROM md WHERE id IN ('none', 'truth', 'classifier')),
+nt(id, t) AS (VALUES {_NOTES}),
+hi AS (
+  SELECT 'H3' AS id, fold AS g, auprc AS y, (model = f)::INT::DOUBLE AS x1, (titration_level IN ('c4', 'c5'))::INT::DOUBLE AS x2, CASE WHEN model = f AND titration_level IN ('c4', 'c5') THEN 1 ELSE 0 END::DOUBLE AS x3
+  FROM ml, ch WHERE arm = 'combined' AND scheme = 'LOEO' AND model IN (f, 'fixed_threshold') AND titration_level IN ('c1', 'c2', 'c4', 'c5')),
+{mixed_sql("hi", 3)},
+lv AS (SELECT scheme, value FROM sv WHERE metric = 'auprc' AND arm = 'combined' AND model = 'boosted_trees' AND level = 'read'),
+lo AS (SELECT 'H10' AS id, value AS d FROM lv WHERE scheme = 'LOTO'), {bootstrap_sql("lo", "lc")},
+lm AS (SELECT median(value) FILTER (scheme = 'LOEO') AS a, median(value) FILTER (scheme = 'LOTO') AS b, count(*) FILTER (scheme = 'LOTO') AS n FROM lv),
+tp AS (SELECT y, score, (read_id % 3 = 0)::INT AS u FROM sp WHERE arm = 'combined' AND model = 'boosted_trees' AND scheme = 'LOEO'),
+tr AS (SELECT u, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r, (count(*) OVER (PARTITION BY score))::DOUBLE AS t FROM tp WHERE y = 0),
+ts AS (SELECT sum(r) FILTER (u = 1) AS r1, (count(*) FILTER (u = 1))::DOUBLE AS a, (count(*) FILTER (u = 0))::DOUBLE AS b, sum(t * t - 1) AS tie, median(score) FILTER (u = 1) - median(score) FILTER (u = 0) AS shift FROM tr),
+tz AS (SELECT shift, greatest(abs(r1 - a * (a + 1) / 2 - a * b / 2) - 0.5, 0) / sqrt(a * b / 12 * (a + b + 1 - tie / ((a + b) * (a + b - 1)))) AS z FROM ts),
+tw AS (SELECT shift, z, 1 / (1 + 0.2316419::DOUBLE * z) AS k FROM tz),
+tq AS (SELECT shift, 2 * exp(-z * z / 2) / sqrt(2 * pi()) * k * (0.319381530::DOUBLE + k * (-0.356563782::DOUBLE + k * (1.781477937::DOUBLE + k * (-1.821255978::DOUBLE + k * 1.330274429::DOUBLE)))) AS p FROM tw),
+tf AS (SELECT avg(u) AS share FROM tp, (SELECT quantile_cont(score, 0.75) AS q FROM tp) WHERE score > q AND y = 0),
+al(id, family, comparison, n_folds, median_diff, ci_lo, ci_hi, wilcox_p, note) AS (
+  SELECT de.id, family, comparison, coalesce(nf, 0), md, ci_lo, ci_hi, p_value, coalesce(nt.t, '') || CASE WHEN de.id = 'H9' THEN sg.t ELSE '' END
+  FROM de LEFT JOIN md ON md.id = de.id LEFT JOIN bc ON bc.id = de.id LEFT JOIN wx ON wx.id = de.id LEFT JOIN nt ON nt.id = de.id, sg WHERE family <> 'source'
+  UNION ALL SELECT 'H3', 'primary', 'interaction method x level, random intercept by fold', (SELECT count(DISTINCT g) FROM hi), estimate, NULL, NULL, p_value, CASE WHEN estimate IS NULL THEN 'fit=none' ELSE 'fit=reml' END FROM hi_fit
+  UNION ALL {_NOT_RUN}
+  UNION ALL SELECT 'H10', 'secondary', 'AUPRC LOEO - LOTO', lm.n, a - b, ci_lo, ci_hi, NULL, printf('LOEO median %.3f, LOTO median %.3f', a, b) FROM lm, lc
+  UNION ALL SELECT 'H11', 'secondary', 'scores of truncated and other negative reads', NULL, shift, NULL, NULL, p, printf('share of truncated reads among high false positives = %.3f', round(share, 6)) FROM tq, tf),
+hs AS (SELECT id, least(1, max(1 - (1 - wilcox_p) ** (m - i + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)) AS h FROM (SELECT id, wilcox_p, count(*) OVER () AS m, row_number() OVER (ORDER BY wilcox_p NULLS LAST, id) AS i FROM al WHERE family = 'primary'))
+SELECT id, family, comparison, n_folds, round(median_diff, 6) AS median_diff, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(wilcox_p, 9) AS wilcox_p, note,
+       round(CASE WHEN wilcox_p IS NOT NULL THEN h END, 9) AS holm_sidak_p, CASE WHEN family = 'primary' THEN coalesce(wilcox_p IS NOT NULL AND h < 0.05, false) ELSE coalesce(ci_lo > 0 OR ci_hi < 0, false) END AS significant
+FROM al LEFT JOIN hs USING (id)"""
 
 QUERIES = {f.__name__: f for f in (study_contrasts, study_hypotheses, study_mixed_supplement, study_choice, model_run, stored_read_calls, run_inner_scores)}
 ORACLES = {
@@ -161,6 +197,12 @@ SELECT p.read_id, donor, titration_level, CASE WHEN doc_id % 7 <> 0 AND doc_id %
        (y = 1) = (score >= t) AS correct
 FROM p LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) ON doc_id = p.read_id, thr""",
     "study_contrasts": f"WITH {STUDY_SQL}, {_DESIGN_SQL}, {_EXACT} SELECT de.id, family, comparison, coalesce(nf, 0) AS n_folds, round(md, 6) AS median_diff, round(p_value, 9) AS wilcox_p FROM de LEFT JOIN (SELECT id, count(*) AS nf, median(d) AS md FROM pr GROUP BY 1) USING (id) LEFT JOIN wx USING (id)",
+    "study_hypotheses": f"WITH {STUDY_SQL}, {_DESIGN_SQL}, {_LEVELS_SQL}, {_EXACT}, {_ROWS_SQL}",
+    "study_mixed_supplement": f"""WITH {STUDY_SQL}, {_DESIGN_SQL}, {_LEVELS_SQL},
+mi AS (
+  SELECT de.id || '|' || comparison AS id, fold AS g, auprc AS y, (ml.arm = arm_a AND ml.model = model_a)::INT::DOUBLE AS x1
+  FROM ml JOIN de ON (ml.arm = arm_a AND ml.model = model_a) OR (ml.arm = arm_b AND ml.model = model_b) WHERE scheme = 'LOEO' AND de.id IN ('H1', 'H2', 'H4')), {mixed_sql("mi", 1)}
+SELECT split_part(id, '|', 1) AS id, split_part(id, '|', 2) AS comparison, round(estimate, 6) AS mixed_estimate, round(p_value, 9) AS mixed_p, n AS n_units, CASE WHEN estimate IS NULL THEN 'none' ELSE 'reml' END AS engine FROM mi_fit""",
     "study_choice": f"WITH {STUDY_SQL} SELECT f AS family, t AS tree, s AS single FROM ch",
     # Counts of the run: donors D0 to D2 are folds 1 to 3; a taxon's fold tests the donors at odd or even places.
     "model_run": """WITH t AS (SELECT doc_id, lang, quality AS y, (doc_id % 3)::INT AS k FROM documents JOIN labels USING (doc_id)),

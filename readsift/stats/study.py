@@ -1,22 +1,20 @@
 """The study's table of hypotheses as DataFrames.
 
 Metric tables hold a row for each arm, model, fold and stratum. A design table of contrasts is joined
-with them, so that all contrasts are one plan; the driver sees the names of the chosen families and the
-interaction's few rows (folds x levels x 2), nothing that grows with reads.
+with them, so that all contrasts are one plan; the driver sees the names of the chosen families only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import is_finite
 from ..operators.ranks import quantiles
-from . import tests
+from . import mixed, tests
+from .resample import median_intervals
 
 FAMILIES = ("glm", "random_forest", "boosted_trees", "glmm")
 TREES = ("random_forest", "boosted_trees")
@@ -101,14 +99,7 @@ def differences(values: DataFrame, pairs: DataFrame, scheme: str = "LOEO") -> Da
 
 def intervals(diffs: DataFrame, reps: int = 2000, seed: int = 1729) -> DataFrame:
     """(id, ci_lo, ci_hi): bootstrap of each contrast's median; a group is one value a fold."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        _, lo, hi = tests.bootstrap_ci(g.sort_values("fold")["d"].tolist(), reps=reps, seed=seed)
-        return pd.DataFrame({"id": [g["id"].iloc[0]], "ci_lo": [lo], "ci_hi": [hi]}).astype({"ci_lo": float, "ci_hi": float})
-
-    ok = diffs.where(is_finite(F.col("d"))).withColumn("fold", F.col("fold").cast("string"))
-    got = ok.groupBy("id").applyInPandas(one, "id string, ci_lo double, ci_hi double")
-    return got.select("id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("ci_lo", "ci_hi")])
+    return median_intervals(diffs, ["id"], "d", reps, seed=seed).select("id", "ci_lo", "ci_hi")
 
 
 def contrasts(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -129,16 +120,21 @@ def source_signs(effects: DataFrame) -> DataFrame:
     return s.agg(F.concat(F.lit("; sign of GLMM - GLM by source {"), text, F.when(robust, F.lit("} -> ROBUST")).otherwise(F.lit("} -> SOURCE-DEPENDENT"))).alias("signs"))
 
 
-def interaction_row(metrics: DataFrame, family: str, recall: float = 0.95) -> tuple:
+def interaction_row(metrics: DataFrame, family: str, recall: float = 0.95) -> DataFrame:
     """H3: how much larger the model's gain is at low than at high levels, with a random intercept a fold."""
     m = metrics.where((F.col("level") == "read") & (F.col("scheme") == "LOEO") & (F.col("arm") == "combined") & F.col("model").isin(family, "fixed_threshold") & F.col("stratum").isin(*LOW, *HIGH))
     if "truncated_included" in m.columns:
         m = m.where("truncated_included")
     if "recall_target" in m.columns:
         m = m.where(F.col("recall_target") == recall)
-    rows = m.select("fold", (F.col("model") == family).alias("ml"), F.col("stratum").isin(*LOW).alias("low"), "auprc").collect()  # folds x 4 levels x 2
-    e = tests.interaction_effect([(str(r.fold), r.ml, r.low, r.auprc) for r in rows])
-    return ("H3", "primary", "interaction method x level, random intercept by fold", len({r.fold for r in rows}), e["estimate"], None, None, e["p_value"], f"fit={e['engine']}")
+    rows = m.select(F.lit("H3").alias("id"), "fold", (F.col("model") == family).alias("ml"), F.col("stratum").isin(*LOW).alias("low"), "auprc").persist()  # folds x 4 levels x 2
+    e = mixed.interaction_effect(rows, ["id"], "fold", "ml", "low", "auprc")
+    n = rows.agg(F.count_distinct("fold").alias("n_folds")).withColumn("id", F.lit("H3"))
+    none = F.lit(None).cast("double")
+    return n.join(e, "id", "left").select(
+        "id", F.lit("primary").alias("family"), F.lit("interaction method x level, random intercept by fold").alias("comparison"), "n_folds", F.col("estimate").alias("median_diff"),
+        none.alias("ci_lo"), none.alias("ci_hi"), F.col("p_value").alias("wilcox_p"), F.concat(F.lit("fit="), F.coalesce("engine", F.lit("none"))).alias("note"),
+    )
 
 
 def degradation(values: DataFrame) -> DataFrame:
@@ -185,8 +181,8 @@ def hypothesis_rows(metrics: DataFrame, preds: DataFrame, calibration: DataFrame
     paired = full.where("family <> 'source'").crossJoin(F.broadcast(signs))  # one row
     paired = paired.withColumn("note", F.when(F.col("id") == "H9", F.concat("note", "signs")).otherwise(F.col("note"))).select(*RESULT)
     kinds = "id string, family string, comparison string, n_folds long, median_diff double, ci_lo double, ci_hi double, wilcox_p double, note string"
-    listed = [interaction_row(metrics, family), *[(k, "secondary", c, None, None, None, None, None, n) for k, (c, n) in NOT_RUN.items()]]
-    every = paired.unionByName(spark.createDataFrame(listed, kinds)).unionByName(degradation(v)).unionByName(truncated_shift(preds))
+    listed = [(k, "secondary", c, None, None, None, None, None, n) for k, (c, n) in NOT_RUN.items()]
+    every = paired.unionByName(interaction_row(metrics, family)).unionByName(spark.createDataFrame(listed, kinds)).unionByName(degradation(v)).unionByName(truncated_shift(preds))
     first = tests.holm_sidak(every.where("family = 'primary'"), "id", "wilcox_p").withColumnRenamed("p_adjusted", "holm_sidak_p")
     first = first.withColumn("significant", F.coalesce(F.col("holm_sidak_p") < alpha, F.lit(False)))
     rest = every.where("family = 'secondary'").withColumn("holm_sidak_p", F.lit(None).cast("double"))
@@ -205,11 +201,6 @@ def mixed_supplement(metrics: DataFrame, inner: DataFrame | None = None, recall:
         m = m.where(F.col("recall_target") == recall)
     m = m.select("arm", "model", "fold", "auprc")
     on = lambda s: (m.arm == p[f"arm_{s}"]) & (m.model == p[f"model_{s}"])
-    d = m.join(F.broadcast(p), on("a") | on("b")).select("id", "comparison", F.when(on("a"), "A").otherwise("B").alias("method"), F.col("fold").cast("string").alias("fold"), "auprc")
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        # The second of the sorted methods counts as positive, so A is named last.
-        e = tests.mixed_effect([(f, "z" if k == "A" else "b", x) for f, k, x in zip(g["fold"], g["method"], g["auprc"].astype(float))])
-        return pd.DataFrame([(g["id"].iloc[0], g["comparison"].iloc[0], e["estimate"] if e["estimate"] is not None else np.nan, e["p_value"] if e["p_value"] is not None else np.nan, e["n"], e["engine"])], columns=["id", "comparison", "mixed_estimate", "mixed_p", "n_units", "engine"])
-
-    return d.groupBy("id").applyInPandas(one, "id string, comparison string, mixed_estimate double, mixed_p double, n_units int, engine string")
+    d = m.join(F.broadcast(p), on("a") | on("b")).select("id", "comparison", on("a").alias("treated"), "fold", "auprc")
+    e = mixed.mixed_effect(d, ["id", "comparison"], "fold", "treated", "auprc")
+    return e.select("id", "comparison", F.col("estimate").alias("mixed_estimate"), F.col("p_value").alias("mixed_p"), F.col("n").alias("n_units"), "engine")

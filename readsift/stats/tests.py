@@ -1,14 +1,14 @@
 """Small-sample tests on per-fold metric tables.
 
 Folds are few (8 in the study design), so exact enumeration is a table of 2^n sign vectors made by
-Spark itself; the bootstrap and the mixed model work on vectors of that size on the driver.
+Spark itself. Bootstrap intervals are in ``resample``, mixed models in ``mixed``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,7 +61,7 @@ def normal_cdf(z):
     """Standard normal distribution function of a non-negative argument (Abramowitz-Stegun 26.2.17, error below 7.5e-8)."""
     t = 1 / (1 + 0.2316419 * z)
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return 1 - F.exp(-z * z / 2) / float(np.sqrt(2 * np.pi)) * poly
+    return 1 - F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
 
 
 def holm_sidak(p: DataFrame, id: str = "id", value: str = "p") -> DataFrame:
@@ -108,81 +108,3 @@ def rank_sum(df: DataFrame, group: str, score: str) -> DataFrame:
     med = quantiles(two, (), {"median_1": ("one", 0.5), "median_0": ("zero", 0.5)})
     out = g.select(a.cast("long").alias("n_1"), b.cast("long").alias("n_0"), w.alias("w"), (2 * (1 - normal_cdf(z))).alias("p_value"))
     return out.crossJoin(med).withColumn("median_shift", F.col("median_1") - F.col("median_0"))  # one row each
-
-
-def bootstrap_ci(d: Sequence[float], reps: int = 2000, conf: float = 0.95, seed: int = 1729) -> tuple[float, float | None, float | None]:
-    """Median of fold differences with a seeded percentile interval; no interval below two values."""
-    x = np.array([v for v in d if v is not None and np.isfinite(v)], float)
-    if len(x) < 2:
-        return (float(np.median(x)) if len(x) else float("nan")), None, None
-    rng = np.random.default_rng(seed)
-    boot = np.median(rng.choice(x, (reps, len(x))), axis=1)
-    lo, hi = np.quantile(boot, [(1 - conf) / 2, (1 + conf) / 2])
-    return float(np.median(x)), float(lo), float(hi)
-
-
-def mixed_effect(rows: Sequence[tuple[str, str, float]]) -> dict:
-    """value ~ method + (1 | donor) over (donor, method, value), by REML on the within/between split.
-
-    Estimate is the second method less the first (sorted). The variance ratio is found on a grid of
-    the profiled REML criterion; p is from Student's t with n - donors - 1 degrees of freedom.
-    """
-    rows = [r for r in rows if r[2] is not None and np.isfinite(r[2])]
-    donors, methods = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-    n = len(rows)
-    if n < 4 or len(methods) < 2 or len(donors) < 3:
-        return {"estimate": None, "p_value": None, "n": n, "engine": "none"}
-    x = np.stack([np.ones(n), [float(r[1] == methods[1]) for r in rows]], axis=1)
-    est, p = _random_intercept(np.array([r[2] for r in rows]), x, np.array([donors.index(r[0]) for r in rows]))
-    return {"estimate": est, "p_value": p, "n": n, "engine": "reml"}
-
-
-def interaction_effect(rows: Sequence[tuple[str, bool, bool, float]]) -> dict:
-    """value ~ a * b + (1 | fold) over (fold, a, b, value): the interaction's estimate and p, as in ``mixed_effect``.
-
-    Without all four cells, or with too few rows for the residual, both are None.
-    """
-    rows = [r for r in rows if r[3] is not None and np.isfinite(r[3])]
-    folds, n = sorted({r[0] for r in rows}), len(rows)
-    if len({(r[1], r[2]) for r in rows}) < 4 or len(folds) < 2 or n - len(folds) - 3 < 1:
-        return {"estimate": None, "p_value": None, "n": n, "engine": "none"}
-    a, b = (np.array([float(r[k]) for r in rows]) for k in (1, 2))
-    est, p = _random_intercept(np.array([r[3] for r in rows]), np.stack([np.ones(n), a, b, a * b], axis=1), np.array([folds.index(r[0]) for r in rows]))
-    return {"estimate": est, "p_value": p, "n": n, "engine": "reml"}
-
-
-def _random_intercept(y: np.ndarray, x: np.ndarray, of: np.ndarray) -> tuple[float, float]:
-    """Estimate and p of the last column of ``x`` with an intercept for each group of ``of``."""
-    n, k = x.shape
-    size = np.bincount(of)
-    best = None
-    for ratio in np.r_[0, np.logspace(-4, 4, 161)]:
-        v = lambda a: a - (ratio / (1 + ratio * size))[of].reshape((-1,) + (1,) * (a.ndim - 1)) * _sum_by(a, of)[of]
-        xtx = x.T @ v(x)
-        beta = np.linalg.solve(xtx, x.T @ v(y))
-        r = y - x @ beta
-        s2 = float(r @ v(r)) / (n - k)
-        crit = (n - k) * np.log(max(s2, 1e-300)) + np.log1p(ratio * size).sum() + np.linalg.slogdet(xtx)[1]
-        if best is None or crit < best[0]:
-            best = crit, beta[-1], np.sqrt(max(s2, 0.0) * np.linalg.inv(xtx)[-1, -1])
-    _, est, se = best
-    return float(est), _t_two_sided(est / se if se > 0 else np.inf, n - len(size) - (k - 1))
-
-
-def _sum_by(a: np.ndarray, of: np.ndarray) -> np.ndarray:
-    out = np.zeros((of.max() + 1,) + a.shape[1:])
-    np.add.at(out, of, a)
-    return out
-
-
-def _t_two_sided(t: float, df: int) -> float:
-    """By integration of the density; no special functions needed."""
-    if not np.isfinite(t):
-        return 0.0
-    from math import lgamma, pi
-
-    c = np.exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / np.sqrt(df * pi)
-    u = np.linspace(0, 1, 20001)[:-1]  # x = |t| + u/(1-u)
-    x = abs(t) + u / (1 - u)
-    f = c * (1 + x * x / df) ** (-(df + 1) / 2) / (1 - u) ** 2
-    return float(min(1.0, 2 * np.trapezoid(f, u)))

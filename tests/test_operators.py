@@ -253,11 +253,6 @@ def test_statistics(spark):
     assert math.isclose(st.interaction(m).first().estimate, 0.15)
     r = st.rank_sum(spark.createDataFrame([(1, 3.0), (1, 4.0), (0, 1.0), (0, 2.0), (0, 3.0)], "g int, s double"), "g", "s").first()
     assert r.w == 5.5 and 0 < r.p_value < 1
-    est, lo, hi = st.bootstrap_ci([0.1, 0.2, 0.3, 0.2])
-    assert lo <= est <= hi and st.bootstrap_ci([0.1])[1:] == (None, None)
-    me = st.mixed_effect([(f"d{i}", k, 0.5 + i / 10 + (0.1 if k == "b" else 0) + j / 1000 * (-1) ** i) for i in range(8) for k in "ab" for j in range(3)])
-    assert abs(me["estimate"] - 0.1) < 0.01 and me["p_value"] < 1e-6
-    assert st.mixed_effect([("d", "a", 1.0)])["engine"] == "none"
 
 
 def test_comparison(spark):
@@ -285,9 +280,8 @@ def test_models(spark):
     assert abs(beta[1] - 1.5) < 0.25 and np.corrcoef(eff[0], u)[0, 1] > 0.9
 
 
-def test_profiles_and_hypotheses(spark):
+def test_profiles(spark):
     from readsift.operators import profiles
-    from readsift.stats import hypotheses as hy
 
     assert profiles.resolve_profile("fixed").min_identity == 0.9
     with pytest.raises(FileNotFoundError):
@@ -298,12 +292,3 @@ def test_profiles_and_hypotheses(spark):
     assert rows(profiles.region_mask([df([("a", 0, 10), ("b", 1, 2)]), df([("a", 10, 400), ("b", 5, 100)])], {1: 300})) == [("a", 0, 400), ("b", 1, 2)]
     e = spark.createDataFrame([([1.0, 1.0],), ([0.0, 0.0],), ([0.0, 2.0],)], "q array<double>").select(profiles.vector_evenness(F.col("q")).alias("e"))
     assert [r.e for r in e.collect()] == [1.0, 0.0, 0.5]
-    assert math.isclose(hy.contrast({1: 0.9, 2: 0.8, 3: 0.7}, {3: 0.6, 1: 0.8, 2: 0.7})["median_diff"], 0.1)
-    base = {i: 0.5 + i / 100 for i in range(8)}
-    up, down = ({k: v + s for k, v in base.items()} for s in (0.1, -0.1))
-    same = hy.random_effect_decomposition(base, {"none": up, "truth": up})
-    flip = hy.random_effect_decomposition(base, {"none": up, "truth": down})
-    assert hy.verdict(same[0]["robust_sign"]) == "ROBUST" and hy.verdict(flip[0]["robust_sign"]) == "SOURCE-DEPENDENT"
-    assert math.isclose(flip[1]["species_contribution"], -0.2)
-    assert math.isclose(hy.degradation(up, base)["median_diff"], 0.1)
-    assert hy.significant("primary", 0.0385, None, None) and not hy.significant("secondary", None, -0.1, 0.2)

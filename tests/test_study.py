@@ -5,7 +5,6 @@ import math
 import pytest
 
 from readsift.stats import study
-from readsift.stats import tests as st
 
 KINDS = "arm string, model string, scheme string, level string, stratum string, fold int, truncated_included boolean, recall_target double, auprc double"
 
@@ -68,15 +67,6 @@ def test_empty(spark, tables):
     assert len(got) == 15 and not any(r.significant for r in got) and all(r.median_diff is None for r in got)
 
 
-def test_interaction_effect():
-    """Balanced data with fold effects: the estimate is the difference of differences, the residual that within folds."""
-    rows = [(f"f{k}", a, b, 0.5 + k + 0.1 * a + 0.2 * (a and b) + 0.01 * ((3 * k + 2 * a + 5 * b) % 7)) for k in range(8) for a in (False, True) for b in (False, True)]
-    e = st.interaction_effect(rows)
-    mean = {(a, b): sum(r[3] for r in rows if r[1:3] == (a, b)) / 8 for a in (False, True) for b in (False, True)}
-    assert math.isclose(e["estimate"], mean[True, True] - mean[True, False] - mean[False, True] + mean[False, False], abs_tol=1e-9)
-    assert e["p_value"] < 1e-6 and st.interaction_effect(rows[:3])["engine"] == "none"
-
-
 def test_mixed_supplement(tables):
     got = {r.id: r for r in study.mixed_supplement(tables[0], tables[3]).collect()}
     assert set(got) == {"H1", "H2", "H4"} and got["H1"].n_units == 64 and got["H1"].mixed_estimate > 0 and got["H2"].mixed_p < 0.05
