@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.folds import balance_weights, inner_groups, loto_folds, loto_masks
+from ..operators.folds import balance_weights, fold_table, inner_of, loto_folds, loto_masks
 from . import folded, models, store
 
 KEEP = ("read_id", "donor", "titration_level", "species", "y", "end_reason_unblock")
@@ -45,18 +45,24 @@ def one_fold(train: DataFrame, test: DataFrame, features: Sequence[str], family:
     return got.select(*KEEP, *[F.lit(v).alias(k) for k, v in names.items()], score.alias("score"), error.alias("error"))
 
 
-def _inner(donors: Sequence[str], held: str, k: int, seed: int) -> list[list[str]]:
-    return inner_groups([d for d in donors if d != held], k, seed)
+def _inner(t: DataFrame, families, k: int, seed: int, folds: DataFrame | None) -> dict:
+    """Inner groups of each fold where a family has candidates to choose from; else none are needed."""
+    if all(callable(f) for f in families):
+        return {}
+    return inner_of(fold_table(t, k, seed) if folds is None else folds)
 
 
 def donors_of(table: DataFrame) -> list[str]:
-    return [r[0] for r in table.select("donor").distinct().orderBy("donor").collect()]  # a handful
+    return [r[0] for r in table.select("donor").where("donor is not null").distinct().orderBy("donor").collect()]  # a handful
 
 
-def leave_one_donor_out(table: DataFrame, arms: Mapping[str, Sequence[str]], families: Mapping[str, Family], k: int = 3, seed: int = 1729) -> DataFrame:
-    """Predictions of every arm and family for each held-out donor (scheme LOEO)."""
+def leave_one_donor_out(table: DataFrame, arms: Mapping[str, Sequence[str]], families: Mapping[str, Family], k: int = 3, seed: int = 1729, folds: DataFrame | None = None) -> DataFrame:
+    """Predictions of every arm and family for each held-out donor (scheme LOEO).
+
+    Families with candidates are tuned over the inner groups of ``folds`` (see ``fold_table``), made here if not given.
+    """
     t, parts = usable(table), []
-    donors = donors_of(t)
+    donors, inner = donors_of(t), _inner(t, families.values(), k, seed, folds)
     names = lambda arm, m: (F.lit(arm).alias("arm"), F.lit(m).alias("model"), F.lit("LOEO").alias("scheme"))
     for arm, features in arms.items():
         whole = {m: f for m, f in families.items() if isinstance(f, models.Folds)}
@@ -65,47 +71,47 @@ def leave_one_donor_out(table: DataFrame, arms: Mapping[str, Sequence[str]], fam
             parts += [fit.scores(f, KEEP).select(*KEEP, *names(arm, m), "fold", "score", "error") for m, fit in whole.items()]
         for i, d in enumerate(donors, 1):
             train, test = t.where(F.col("donor") != d), t.where(F.col("donor") == d)
-            parts += [one_fold(train, test, features, f, _inner(donors, d, k, seed), arm=arm, model=m, scheme="LOEO", fold=i) for m, f in families.items() if m not in whole]
+            parts += [one_fold(train, test, features, f, inner.get(("LOEO", i), []), arm=arm, model=m, scheme="LOEO", fold=i) for m, f in families.items() if m not in whole]
     return reduce(DataFrame.unionByName, parts)
 
 
-def leave_one_taxon_out(table: DataFrame, arm: str, features: Sequence[str], model: str, family: Family, k: int = 3, seed: int = 1729) -> DataFrame | None:
+def leave_one_taxon_out(table: DataFrame, arm: str, features: Sequence[str], model: str, family: Family, k: int = 3, seed: int = 1729, folds: DataFrame | None = None) -> DataFrame | None:
     """Predictions for each taxon of the positives, held out together with half of the donors (scheme LOTO).
 
     A taxon whose part lacks positives or negatives in training or test has no fold; None without any.
     """
     t = usable(table)
-    folds = loto_folds(t, t.where("y = 1"))
-    masked = loto_masks(t, folds, t)
+    inner = _inner(t, [family], k, seed, folds)
+    masked = loto_masks(t, loto_folds(t, t.where("y = 1")), t)
     whole = masked.groupBy("fold").agg(*[F.count(F.when((F.col("part") == p) & (F.col("y") == v), 1)).alias(f"n{p}{v}") for p in ("train", "test") for v in (0, 1)])
     good = [r[0] for r in whole.where("ntrain0 > 0 and ntrain1 > 0 and ntest0 > 0 and ntest1 > 0").select("fold").orderBy("fold").collect()]  # one a taxon
     parts = []
     for i in good:
         train, test = (masked.where((F.col("fold") == i) & (F.col("part") == p)).drop("fold", "part", "test_species", "test_parity") for p in ("train", "test"))
-        inner = [] if callable(family) else inner_groups(donors_of(train), k, seed)
-        parts.append(one_fold(train, test, features, family, inner, arm=arm, model=model, scheme="LOTO", fold=i))
+        parts.append(one_fold(train, test, features, family, inner.get(("LOTO", i), []), arm=arm, model=model, scheme="LOTO", fold=i))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def inner_scores(table: DataFrame, arm: str, features: Sequence[str], families: Mapping[str, Callable], k: int = 3, seed: int = 1729) -> DataFrame:
+def inner_scores(table: DataFrame, arm: str, features: Sequence[str], families: Mapping[str, Callable], k: int = 3, seed: int = 1729, folds: DataFrame | None = None) -> DataFrame:
     """(arm, model, fold, inner_auprc) of each family over inner donor folds; never sees the held-out donor."""
     t, rows = usable(table), []
-    donors = donors_of(t)
+    donors, inner = donors_of(t), inner_of(fold_table(t, k, seed) if folds is None else folds)
     for i, d in enumerate(donors, 1):
         train = t.where(F.col("donor") != d)
-        rows += [(arm, m, i, models.inner_score(train, features, f, _inner(donors, d, k, seed))) for m, f in families.items()]
+        rows += [(arm, m, i, models.inner_score(train, features, f, inner["LOEO", i])) for m, f in families.items()]
     return table.sparkSession.createDataFrame(rows, "arm string, model string, fold int, inner_auprc double")
 
 
 def run(
     table: DataFrame, arms: Mapping[str, Sequence[str]], families: Mapping[str, Family], blocks: Mapping[str, Sequence[str]], ablations: Mapping[str, Sequence[str]],
-    sources: Mapping[str, str | None], best: str = "boosted_trees", arm: str = "combined", loto: bool = True, into: str | None = None,
+    sources: Mapping[str, str | None], best: str = "boosted_trees", arm: str = "combined", loto: bool = True, into: str | None = None, folds: DataFrame | None = None,
 ) -> DataFrame:
     """All predictions of the study: arms by families, ablations and held-out taxa of ``best``, and the mixed
     model once for each species source (a column, or None for the donor term alone).
 
     An ablation that drops no feature and a source whose column is missing are left out. With ``into``, each
-    part is written there as soon as it is made (see ``store``), and what is stored is returned.
+    part is written there as soon as it is made (see ``store``), and what is stored is returned. ``folds`` is a stored
+    fold table (``store.load_folds``); without it inner groups are made anew.
     """
     parts: list[DataFrame] = []
 
@@ -114,13 +120,13 @@ def run(
         if into is not None:
             store.save(part, into)
 
-    done(leave_one_donor_out(table, arms, families))
+    done(leave_one_donor_out(table, arms, families, folds=folds))
     cut = {f"{arm}_minus_{k}": ablated(arms[arm], blocks, drop) for k, drop in ablations.items()}
     cut = {k: v for k, v in cut.items() if len(v) < len(arms[arm])}
     if cut:
-        done(leave_one_donor_out(table, cut, {best: families[best]}))
+        done(leave_one_donor_out(table, cut, {best: families[best]}, folds=folds))
     if loto:
-        taxa = leave_one_taxon_out(table, arm, arms[arm], best, families[best])
+        taxa = leave_one_taxon_out(table, arm, arms[arm], best, families[best], folds=folds)
         if taxa is not None:
             done(taxa)
     mixed = {f"glmm_{k}": models.glmm(("donor",) if c is None else ("donor", c)) for k, c in sources.items() if c is None or c in table.columns}

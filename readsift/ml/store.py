@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.compare import read_calls
 
 PARTITIONS = ("arm", "model", "scheme", "fold")
+FOLDS = "scheme string, fold int, test_species string, test_donors array<string>, train_donors array<string>, inner array<struct<group: int, donors: array<string>>>"
 #: Texts that stand for a missing taxon (fixed values).
 BLANK = ("", "NA", '""')
 
@@ -59,3 +60,12 @@ def export_read_calls(
 
 def in_export_order(calls: DataFrame) -> DataFrame:
     return calls.orderBy("donor", "titration_level", F.desc("model_score"), "read_id")
+
+
+def save_folds(folds: DataFrame, path: str) -> None:
+    """Keep a fold table (``operators.folds.fold_table``) so that later fits and evaluations share its folds."""
+    folds.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_folds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FOLDS).parquet(path)

@@ -12,8 +12,8 @@ from .ranks import quantiles, running
 
 
 def loeo_folds(donors: DataFrame, donor: str = "donor") -> DataFrame:
-    """(fold, test_donor): fold i holds out the i-th donor. Donors are a design table."""
-    return donors.select(donor).distinct().select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(donor)).alias("fold"), F.col(donor).alias("test_donor"))
+    """(fold, test_donor): fold i holds out the i-th donor; a null is none. Donors are a design table."""
+    return donors.select(donor).where(F.col(donor).isNotNull()).distinct().select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(donor)).alias("fold"), F.col(donor).alias("test_donor"))
 
 
 def loeo_masks(rows: DataFrame, folds: DataFrame, donor: str = "donor", label: str = "label") -> DataFrame:
@@ -44,15 +44,37 @@ def loto_masks(rows: DataFrame, folds: DataFrame, donors: DataFrame, donor: str
     return d.withColumn("part", part).where("part is not null").drop("__d", "__p", "__n")
 
 
-def inner_groups(donors: Sequence[str], k: int, seed: int) -> list[list[str]]:
-    """A seeded partition of donors into at most k groups as even as can be; one donor gives one group."""
-    import random
+def fold_table(rows: DataFrame, k: int = 3, seed: int = 1729, donor: str = "donor", taxon: str = "species", label: str = "label") -> DataFrame:
+    """All outer folds of both schemes with their inner groups, as one nested row a fold.
 
-    g = sorted(set(donors))
-    random.Random(seed).shuffle(g)
-    k = max(1, min(k, len(g)))
-    cut = [round(i * len(g) / k) for i in range(k + 1)]
-    return [g[a:b] for a, b in zip(cut, cut[1:]) if b > a]
+    (scheme, fold, test_species, test_donors, train_donors, inner): LOEO holds out a donor, LOTO a taxon of the positives
+    together with every other donor (a single donor is tested and nothing trained). ``inner`` is an array of (group,
+    donors): the training donors in the order of md5('seed|scheme|fold|donor'), cut into at most ``k`` groups whose
+    sizes differ by one at most. A null donor and a null or empty taxon make no fold.
+    """
+    place = loeo_folds(rows, donor).select(F.col("test_donor").cast("string").alias("donor"), F.col("fold").alias("__p"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("__n"))
+    loeo = place.select(F.col("__p").alias("fold")).crossJoin(F.broadcast(place)).select(F.lit("LOEO").alias("scheme"), "fold", F.lit(None).cast("string").alias("test_species"), "donor", (F.col("__p") == F.col("fold")).alias("__test"))
+    taxa = loto_folds(rows, rows.where(F.col(label) == "positive"), donor, taxon)
+    tested = (F.col("__p") % 2 == F.col("test_parity")) | (F.col("__n") == 1)
+    loto = taxa.crossJoin(F.broadcast(place)).select(F.lit("LOTO").alias("scheme"), "fold", F.col("test_species").cast("string").alias("test_species"), "donor", tested.alias("__test"))
+    every = loeo.unionByName(loto)
+
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), "scheme", F.col("fold").cast("string"), F.col("donor").cast("string")).cast("binary"))
+    part = Window.partitionBy("scheme", "fold", "__test")
+    at, n = F.row_number().over(part.orderBy(key, "donor")), F.count(F.lit(1)).over(part)
+    every = every.withColumn("__g", F.floor((at - 1) * F.least(F.lit(k), n) / n).cast("int") + 1)
+    pick = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("donor"))))
+    t = every.groupBy("scheme", "fold", "test_species").agg(
+        pick(F.col("__test")).alias("test_donors"), pick(~F.col("__test")).alias("train_donors"),
+        F.array_sort(F.collect_set(F.when(~F.col("__test"), F.col("__g")))).alias("__gs"), F.collect_list(F.when(~F.col("__test"), F.struct("__g", "donor"))).alias("__all"),
+    )
+    of = lambda g: F.array_sort(F.transform(F.filter("__all", lambda x: x["__g"] == g), lambda x: x["donor"]))
+    return t.select("scheme", "fold", "test_species", "test_donors", "train_donors", F.transform("__gs", lambda g: F.struct(g.alias("group"), of(g).alias("donors"))).alias("inner"))
+
+
+def inner_of(table: DataFrame) -> dict[tuple[str, int], list[list[str]]]:
+    """Inner groups by scheme and fold, for a driver that submits one fit a fold; a row a fold is gathered."""
+    return {(r.scheme, r.fold): [list(g.donors) for g in r.inner] for r in table.select("scheme", "fold", "inner").collect()}
 
 
 def balance_weights(df: DataFrame, unit: Sequence[str]) -> DataFrame:

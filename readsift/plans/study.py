@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..ml import models, run, store
 from ..operators import ranking
+from ..operators.folds import fold_table
 from ..session import scratch, table
 from ..stats import study
 from .bridge import LEVELS, PREDICTIONS_SQL, predictions
-from .evaluation import _WIL, metric_sql, rounded
+from .evaluation import _ROWS as LABELLED_SQL, _WIL, _rows as labelled_rows, metric_sql, rounded
 from .inference import bootstrap_sql, mixed_sql
 from .learning import FEATURES, training_table
 
@@ -109,6 +110,14 @@ def stored_read_calls(spark, d):
     return store.in_export_order(store.export_read_calls(spark, path, taxa, "combined", "mixed"))
 
 
+def fold_artefact(spark, d):
+    """The fold table of labelled orders, stored and read back; donors of a part and of a group joined by commas."""
+    path = scratch(spark)
+    store.save_folds(fold_table(labelled_rows(spark, d), k=3), path)
+    text = F.array_join(F.transform("inner", lambda g: F.concat(g["group"].cast("string"), F.lit(":"), F.array_join(g["donors"], ","))), ";")
+    return store.load_folds(spark, path).select("scheme", "fold", "test_species", F.array_join("test_donors", ",").alias("test_donors"), F.array_join("train_donors", ",").alias("train_donors"), text.alias("inner_groups"))
+
+
 def run_inner_scores(spark, d):
     """Inner average precision of the logistic model for each held-out donor."""
     t = run_table(spark, d).persist()
@@ -187,7 +196,7 @@ SELECT id, family, comparison, n_folds, round(median_diff, 6) AS median_diff, ro
        round(CASE WHEN wilcox_p IS NOT NULL THEN h END, 9) AS holm_sidak_p, CASE WHEN family = 'primary' THEN coalesce(wilcox_p IS NOT NULL AND h < 0.05, false) ELSE coalesce(ci_lo > 0 OR ci_hi < 0, false) END AS significant
 FROM al LEFT JOIN hs USING (id)"""
 
-QUERIES = {f.__name__: f for f in (study_contrasts, study_hypotheses, study_mixed_supplement, study_choice, model_run, stored_read_calls, run_inner_scores)}
+QUERIES = {f.__name__: f for f in (study_contrasts, study_hypotheses, study_mixed_supplement, study_choice, model_run, stored_read_calls, fold_artefact, run_inner_scores)}
 ORACLES = {
     "stored_read_calls": f"""WITH {PREDICTIONS_SQL},
 p AS (SELECT * FROM preds WHERE arm = 'combined' AND model = 'mixed'),
@@ -196,6 +205,17 @@ SELECT p.read_id, donor, titration_level, CASE WHEN doc_id % 7 <> 0 AND doc_id %
        CASE WHEN y = 1 THEN 'positive' ELSE 'negative' END AS ground_truth, score AS model_score, CASE WHEN score >= t THEN 'positive' ELSE 'negative' END AS model_call,
        (y = 1) = (score >= t) AS correct
 FROM p LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) ON doc_id = p.read_id, thr""",
+    "fold_artefact": LABELLED_SQL + """,
+pl AS (SELECT donor, fold AS p, count(*) OVER () AS n FROM don),
+tx AS (SELECT species, row_number() OVER (ORDER BY species) AS f FROM (SELECT DISTINCT species FROM rw WHERE label = 'positive' AND species IS NOT NULL)),
+al AS (
+  SELECT 'LOEO' AS scheme, a.p AS fold, NULL AS test_species, b.donor, a.p = b.p AS t FROM pl a, pl b
+  UNION ALL SELECT 'LOTO', f, species, donor, p % 2 = f % 2 OR n = 1 FROM tx, pl),
+rk AS (SELECT *, row_number() OVER (w ORDER BY md5('1729|' || scheme || '|' || fold || '|' || donor), donor) AS r, count(*) OVER w AS n FROM al WINDOW w AS (PARTITION BY scheme, fold, t)),
+gr AS (SELECT *, (r - 1) * least(3, n) // n + 1 AS g FROM rk),
+ig AS (SELECT scheme, fold, string_agg(g || ':' || ds, ';' ORDER BY g) AS inner_groups FROM (SELECT scheme, fold, g, string_agg(donor, ',' ORDER BY donor) AS ds FROM gr WHERE NOT t GROUP BY ALL) GROUP BY ALL)
+SELECT scheme, fold::INT AS fold, test_species, coalesce(string_agg(donor, ',' ORDER BY donor) FILTER (t), '') AS test_donors, coalesce(string_agg(donor, ',' ORDER BY donor) FILTER (NOT t), '') AS train_donors, coalesce(any_value(inner_groups), '') AS inner_groups
+FROM gr LEFT JOIN ig USING (scheme, fold) GROUP BY scheme, fold, test_species""",
     "study_contrasts": f"WITH {STUDY_SQL}, {_DESIGN_SQL}, {_EXACT} SELECT de.id, family, comparison, coalesce(nf, 0) AS n_folds, round(md, 6) AS median_diff, round(p_value, 9) AS wilcox_p FROM de LEFT JOIN (SELECT id, count(*) AS nf, median(d) AS md FROM pr GROUP BY 1) USING (id) LEFT JOIN wx USING (id)",
     "study_hypotheses": f"WITH {STUDY_SQL}, {_DESIGN_SQL}, {_LEVELS_SQL}, {_EXACT}, {_ROWS_SQL}",
     "study_mixed_supplement": f"""WITH {STUDY_SQL}, {_DESIGN_SQL}, {_LEVELS_SQL},

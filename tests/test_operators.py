@@ -227,8 +227,6 @@ def test_folds(spark):
         assert not parts[0] & parts[1]
     alone = r.where("donor = 'D0'")
     assert {(x.fold, x.part) for x in folds.loto_masks(alone, folds.loto_folds(alone, alone), alone).collect()} == {(1, "test"), (2, "test")}
-    g = folds.inner_groups(["a", "b", "c", "d", "e"], 3, 1)
-    assert sorted(itertools.chain(*g)) == list("abcde") and folds.inner_groups(["a"], 3, 1) == [["a"]]
     w = folds.balance_weights(spark.createDataFrame([("D1",)] * 2 + [("D2",)] * 4, "donor string"), ["donor"]).collect()
     assert sum(x.weight for x in w if x.donor == "D1") == sum(x.weight for x in w if x.donor == "D2") == 3.0
     c = folds.stratified_cap(spark.range(10000).withColumn("y", (F.col("id") < 7000).cast("int")), "y", 1000, ["id"])
