@@ -228,10 +228,10 @@ def _missing_classes(f: Folded) -> dict[int, str]:
     return {f.folds[i]: "training rows of one class only" for i in range(len(f.folds)) if i not in f.trained}
 
 
-def glm(f: Folded, keep: Sequence[str]) -> DataFrame:
-    """Logistic regression with weights of equal units; missing values get the train median."""
+def glm(f: Folded, keep: Sequence[str], weighted: bool = True) -> DataFrame:
+    """Logistic regression with weights of equal units (or none); missing values get the train median."""
     med = np.nan_to_num(medians(f)[0])
-    return scored(f, keep, probability(logistic(f, med), med), _missing_classes(f))
+    return scored(f, keep, probability(logistic(f, med, weighted=weighted), med), _missing_classes(f))
 
 
 def best_features(f: Folded, ties: str, med: np.ndarray, values: np.ndarray) -> DataFrame:

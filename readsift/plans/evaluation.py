@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, folds, ranking, samples
+from ..ml.samples import cell_metrics
+from ..operators import compare, folds, intervals, ranking, samples
 from ..session import table
 from ..stats import mixed, resample, tests
 from .bridge import HITS_SQL, PREDICTIONS_SQL, labels_sql, predictions
 from .bridge import labels as order_labels
 from .inference import bootstrap_sql, mixed_sql
-from .reads import expected_samples, floored_labels
+from .reads import _COV, expected_samples, floored_labels
 
 QUERIES, ORACLES = {}, {}
 
@@ -131,8 +132,36 @@ def _expected(spark, d):
     return e.withColumn("expected_present", F.col("p_detect") >= 0.95).drop("i")
 
 
-def cells(spark, d):
-    return samples.aggregate_sample_taxon(predictions(spark, d), _expected(spark, d))
+def cells(spark, d, coverage=None):
+    return samples.aggregate_sample_taxon(predictions(spark, d), _expected(spark, d), coverage)
+
+
+#: Length of the made-up reference on which a cell's documents lie.
+GENOME = 100_000
+_CELL_COV = _COV[_COV.index("c AS (SELECT user_id") :].replace("2592000", str(GENOME)).replace("user_id", "donor, titration_level, species").replace("FROM ev)", "FROM iv)").replace("GROUP BY 1)", "GROUP BY ALL)")
+
+
+def cell_coverage(spark, d):
+    """Breadth and evenness of each donor, level and taxon: a document covers its length from a hashed start."""
+    t = table(spark, d, "documents").where("source is not null and doc_id % 11 <> 0")
+    start = F.col("doc_id") * 9973 % GENOME
+    iv = t.select(F.concat(F.lit("D"), F.col("doc_id") % 8).alias("donor"), F.col("lang").alias("titration_level"), F.col("source").alias("species"), start.alias("start"), (start + F.col("n_chars")).alias("end"), F.lit(float(GENOME)).alias("glen"))
+    return intervals.coverage(iv, ["donor", "titration_level", "species"])
+
+
+@query(_SXT + f""", iv AS (SELECT 'D' || (doc_id % 8) AS donor, lang AS titration_level, source AS species, doc_id * 9973 % {GENOME} AS start, doc_id * 9973 % {GENOME} + n_chars AS "end" FROM documents WHERE source IS NOT NULL AND doc_id % 11 <> 0), {_CELL_COV},
+cv AS (SELECT donor, titration_level, species, coalesce(genome_breadth, 0) AS b, coalesce(1 - gini, 0) AS v FROM (SELECT DISTINCT donor, titration_level, species FROM iv) LEFT JOIN st USING (donor, titration_level, species))
+SELECT arm, model, fold, donor, titration_level, species, y, round(CASE WHEN y_obs = 0 AND n_reads_above_thr = 0 AND max_score < 0 THEN 0 ELSE b END, 6) AS genome_breadth, round(CASE WHEN y_obs = 0 AND n_reads_above_thr = 0 AND max_score < 0 THEN 0 ELSE v END, 6) AS coverage_evenness
+FROM sxt LEFT JOIN cv USING (donor, titration_level, species)""")
+def cells_with_coverage(spark, d):
+    """Cells beside the breadth and evenness of their taxon; a missed taxon has zeros, one without coverage nulls."""
+    c = cells(spark, d, cell_coverage(spark, d))
+    return rounded(c.select("arm", "model", "fold", "donor", "titration_level", "species", "y", "genome_breadth", "coverage_evenness"), "genome_breadth", "coverage_evenness")
+
+
+@query(_SXT + ", sm AS (SELECT *, max_score AS score, donor || '|' || titration_level || '|' || species AS read_id FROM sxt), sl AS (SELECT *, 'all' AS stratum FROM sm UNION ALL SELECT *, titration_level FROM sm WHERE titration_level IS NOT NULL)," + metric_sql("arm, model, scheme, fold, stratum", "sl") + f" SELECT arm, model, scheme, fold, stratum, 'sample_taxon' AS level, true AS truncated_included, recall_target, {_ROUND} FROM met")
+def cell_metrics_by_level(spark, d):
+    return rounded(cell_metrics(cells(spark, d)), *METRICS)
 
 
 @query(_SXT + " SELECT arm, model, scheme, fold, donor, titration_level, species, n_reads_above_thr, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, y_obs, y, library_total, round(rpm, 6) AS reads_above_thr_per_million FROM sxt")

@@ -8,7 +8,7 @@ from ..ml.samples import sample_taxon_ablation
 from ..operators import cutoffs, profiles
 from ..session import table
 from .bridge import LEVELS
-from .evaluation import cells
+from .evaluation import METRICS, cell_coverage, cells, rounded
 from .reads import COVS, IDS, ORACLES as _READS, _EV, _errors, confident
 
 
@@ -36,12 +36,14 @@ def profile_provenance(spark, d):
 
 
 def cell_ablation(spark, d):
-    """Cells with a synthetic breadth that follows the truth; donors are folded into three groups."""
-    c = cells(spark, d).where("arm = 'combined' and model = 'size'")
-    h = F.pmod(F.xxhash64("donor", "titration_level", "species"), F.lit(100)) / 100.0
-    c = c.withColumn("genome_breadth", 0.7 * F.col("y") + 0.6 * h).withColumn("coverage_evenness", h)
-    c = c.withColumn("species", F.concat("species", "donor")).withColumn("donor", F.concat(F.lit("G"), F.substring("donor", 2, 1).cast("int") % 3))
-    return sample_taxon_ablation(c).withColumn("auprc", F.round("auprc", 6))
+    """Held-out scores of cells with and without the coverage of their taxon, as rows of the study's metric table.
+
+    Expected presence differs between the donors of this view, not within one, so donors are folded into three groups.
+    """
+    c = cells(spark, d, cell_coverage(spark, d)).where("arm = 'combined' and model = 'size'")
+    group = F.substring("donor", 2, 1).cast("int") % 3
+    c = c.withColumn("species", F.concat_ws("-", "species", "donor")).withColumn("fold", group + 1).withColumn("donor", F.concat(F.lit("G"), group.cast("string")))
+    return rounded(sample_taxon_ablation(c), *METRICS)
 
 
 QUERIES = {f.__name__: f for f in (region_mask, vector_evenness, level_numbers, profile_provenance, cell_ablation)}
