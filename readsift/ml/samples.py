@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import TARGETS, is_finite, metric_rows
+from ..session import scratch
 from . import folded, models
 
 SCORE_FEATURES = ("mean_score", "max_score", "reads_above_thr_per_million")
@@ -29,6 +30,9 @@ def sample_taxon_ablation(cells: DataFrame, block: Sequence[str] = BREADTH, base
     form of the study's metric tables (one a fold and recall target), so they can be joined to them. None where the
     block's columns have fewer than ``least`` finite non-zero values, as without a coverage table.
     """
+    path = scratch(cells.sparkSession)  # cells, not reads; counted, and fitted twice
+    cells.write.parquet(path)
+    cells = cells.sparkSession.read.schema(cells.schema).parquet(path)
     known = [(is_finite(F.col(c)) & (F.col(c) != 0)).cast("long") for c in block]
     if (cells.agg(*[F.sum(k).alias(f"n{i}") for i, k in enumerate(known)]).select(sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(len(block))), F.lit(0))).first()[0]) < least:
         return None
