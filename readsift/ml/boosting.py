@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import running
 from ..session import scratch
-from .folded import PLAIN, Batch, Folded, _missing_classes, scored
+from .folded import PLAIN, Batch, Folded, missing_classes, scored
 
 #: Trees between two writings of the margins.
 EVERY = 20
@@ -238,7 +238,7 @@ def boosted(p: Boost = Boost()) -> Callable[[Folded, Sequence[str]], DataFrame]:
             margin = forest.add(np.zeros((len(t.y), folds)), forest.codes(t.x))
             return 1 / (1 + np.exp(-margin))
 
-        return scored(f, keep, score, _missing_classes(f))
+        return scored(f, keep, score, missing_classes(f))
 
     return run
 

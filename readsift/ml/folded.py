@@ -75,6 +75,7 @@ class Batch:
 
     def __init__(self, b: pa.RecordBatch, f: Folded, at: int):
         y, unit, trains, tests, x = (b.column(at + i) for i in range(5))
+        self.more = [b.column(i) for i in range(at + 5, b.num_columns)]
         n = b.num_rows
         self.x = np.asarray(x.flatten().to_numpy(zero_copy_only=False), float).reshape(n, len(f.features))
         self.y = np.asarray(y.to_numpy(zero_copy_only=False), float)
@@ -95,8 +96,8 @@ class Batch:
 PLAIN = ["__y", "__unit", "__trains", "__tests", "__x"]
 
 
-def summed(f: Folded, work: Callable[[Batch, np.ndarray], None], width: int) -> np.ndarray:
-    """folds x ``width`` sums over all rows; ``work`` adds a batch to a task's own sums."""
+def summed(f: Folded, work: Callable[[Batch, np.ndarray], None], width: int, extra: Sequence[Column] = ()) -> np.ndarray:
+    """folds x ``width`` sums over all rows; ``work`` adds a batch, with ``extra`` as its ``more``, to a task's own sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = np.zeros((len(slim.folds), width))
@@ -104,17 +105,17 @@ def summed(f: Folded, work: Callable[[Batch, np.ndarray], None], width: int) ->
             work(Batch(b, slim, 0), v)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v)), pa.int32()), pa.array(list(v), pa.list_(pa.float64()))], ["k", "v"])
 
-    rows, slim = f.rows.select(*PLAIN), Folded(None, f.features, f.folds, f.units, f.weight, f.negatives, f.positives)
+    rows, slim = f.rows.select(*PLAIN, *[c.alias(f"__e{i}") for i, c in enumerate(extra)]), Folded(None, f.features, f.folds, f.units, f.weight, f.negatives, f.positives)
     out = np.zeros((len(f.folds), width))
-    got = rows.mapInArrow(run, SUMS).select("k", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x")).toArrow()
+    got = rows.mapInArrow(run, SUMS).select("k", F.posexplode("v").alias("i", "x")).where("x <> 0").groupBy("k", "i").agg(F.sum("x").alias("x")).toArrow()
     out[got["k"].to_numpy(), got["i"].to_numpy()] = got["x"].to_numpy()
     return out
 
 
-def scored(f: Folded, keep: Sequence[str], score: Callable[[Batch], np.ndarray], failed: dict[int, str] | None = None) -> DataFrame:
+def scored(f: Folded, keep: Sequence[str], score: Callable[[Batch], np.ndarray], failed: dict[int, str] | None = None, extra: Sequence[Column] = ()) -> DataFrame:
     """A row for each fold a row is tested in: keep, fold, score, error. ``score`` gives rows x folds."""
     slim = Folded(None, f.features, f.folds, f.units, f.weight, f.negatives, f.positives)
-    rows, n = f.rows.select(*keep, *PLAIN), len(keep)
+    rows, n = f.rows.select(*keep, *PLAIN, *[c.alias(f"__e{i}") for i, c in enumerate(extra)]), len(keep)
     schema = f.rows.select(*keep, F.lit(0).alias("fold"), F.lit(0.0).alias("score"), F.lit("").alias("error")).schema
     schema["score"].nullable = schema["error"].nullable = True
     failed = failed or {}
@@ -138,6 +139,8 @@ def medians(f: Folded) -> tuple[np.ndarray, np.ndarray]:
 
     Equal values are counted first, for all folds in one aggregation, and put in one global order.
     """
+    if not f.folds:
+        return np.zeros((0, len(f.features))), np.zeros((0, len(f.features)), int)
     long = f.rows.select("__trains", F.posexplode("__x").alias("j", "v")).where("v is not null")
     counts = long.groupBy("j", "v").agg(*[F.count_if(F.array_contains("__trains", k)).alias(f"n{i}") for i, k in enumerate(f.folds)])
     r = running(counts, ["j"], [F.col("v")], {f"c{i}": F.col(f"n{i}") for i in range(len(f.folds))})
@@ -224,14 +227,14 @@ def probability(beta: np.ndarray, fill: np.ndarray) -> Callable[[Batch], np.ndar
     return score
 
 
-def _missing_classes(f: Folded) -> dict[int, str]:
+def missing_classes(f: Folded) -> dict[int, str]:
     return {f.folds[i]: "training rows of one class only" for i in range(len(f.folds)) if i not in f.trained}
 
 
 def glm(f: Folded, keep: Sequence[str], weighted: bool = True) -> DataFrame:
     """Logistic regression with weights of equal units (or none); missing values get the train median."""
     med = np.nan_to_num(medians(f)[0])
-    return scored(f, keep, probability(logistic(f, med, weighted=weighted), med), _missing_classes(f))
+    return scored(f, keep, probability(logistic(f, med, weighted=weighted), med), missing_classes(f))
 
 
 def best_features(f: Folded, ties: str, med: np.ndarray, values: np.ndarray) -> DataFrame:

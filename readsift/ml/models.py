@@ -1,4 +1,4 @@
-"""Model families for grouped out-of-fold prediction: all folds at once (``Folds``), forests on Spark ML, the mixed model in numpy.
+"""Model families for grouped out-of-fold prediction: all folds at once (``Folds``), and forests on Spark ML.
 
 Every model scores held-out donors only. A fold that fails is reported as a row with an error and
 no score, not as silent nulls.
@@ -9,16 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.folds import balance_weights, stratified_cap
+from ..operators.folds import balance_weights
 from ..operators.ranking import auprc
-from . import boosting, folded
+from . import boosting, folded, mixed_logistic
 
 #: (max depth, learning rate, rounds) and (share of features, rows a leaf) that tuning tries (fixed values).
 BOOST_GRID = tuple((d, e, r) for d in (4, 6) for e in (0.1, 0.3) for r in (200, 400))
@@ -26,10 +25,10 @@ FOREST_GRID = tuple((m, n) for m in (0.33, 0.66) for n in (5, 20))
 
 
 class Folds:
-    """A family that fits all folds at once; called as (train, test, features) it fits one."""
+    """A family that fits all folds at once; called as (train, test, features) it fits one. It reads the columns ``needs`` beside the features."""
 
-    def __init__(self, scores: Callable[[folded.Folded, Sequence[str]], DataFrame]):
-        self.scores = scores
+    def __init__(self, scores: Callable[[folded.Folded, Sequence[str]], DataFrame], needs: Sequence[str] = ()):
+        self.scores, self.needs = scores, tuple(needs)
 
     def __call__(self, train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataFrame:
         none, one = F.array().cast("array<int>"), F.array(F.lit(1))
@@ -74,68 +73,9 @@ def boosted(depth: int = 6, rate: float = 0.1, rounds: int = 300) -> Folds:
     return Folds(boosting.boosted(boosting.Boost(depth, rate, rounds)))
 
 
-def fit_glmm(x: np.ndarray, y: np.ndarray, groups: Sequence[np.ndarray], rounds: int = 20) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
-    """Logistic model with random intercepts by penalised quasi-likelihood.
-
-    Returns fixed effects (intercept first), one vector of effects a grouping, and their variances.
-    Variances follow from the posterior means and variances of the effects (an EM step a round).
-    """
-    n = len(y)
-    x = np.column_stack([np.ones(n), x])
-    sizes = [int(g.max()) + 1 for g in groups]
-    width = x.shape[1] + sum(sizes)
-    z = np.zeros((n, width))
-    z[:, : x.shape[1]] = x
-    at = x.shape[1]
-    for g, s in zip(groups, sizes):
-        z[np.arange(n), at + g] = 1.0
-        at += s
-    var, b = [1.0] * len(groups), np.zeros(width)
-    for _ in range(rounds):
-        pen = np.r_[np.full(x.shape[1], 1e-6), *[np.full(s, 1 / v) for s, v in zip(sizes, var)]]
-        for _ in range(8):
-            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            w = np.maximum(p * (1 - p), 1e-6)
-            h = (z * w[:, None]).T @ z + np.diag(pen)
-            step = np.linalg.solve(h, z.T @ (y - p) - pen * b)
-            b = b + step
-            if np.abs(step).max() < 1e-6:
-                break
-        cov = np.diag(np.linalg.inv(h))
-        at = x.shape[1]
-        for k, s in enumerate(sizes):
-            var[k] = float(max(1e-4, np.mean(b[at : at + s] ** 2 + cov[at : at + s])))
-            at += s
-    effects, at = [], x.shape[1]
-    for s in sizes:
-        effects.append(b[at : at + s])
-        at += s
-    return b[: x.shape[1]], effects, var
-
-
-def glmm(random: Sequence[str] = ("donor",), cap: int = 250_000) -> Callable:
-    """Random intercepts by ``random``; fitted on a class-stratified sample of at most ``cap`` rows.
-
-    Unseen levels (the held-out donor) get no effect; seen ones, such as a species, get theirs.
-    """
-
-    def run(train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataFrame:
-        a, b, names = imputed(train, test, features)
-        s = stratified_cap(a.withColumn("__h", F.xxhash64("read_id")), "y", cap, ["__h", "read_id"]).select("read_id", "y", *random, *names).toPandas().sort_values("read_id")
-        x = s[names].to_numpy(float)
-        mean, sd = x.mean(0), x.std(0) + 1e-9
-        levels = [sorted(s[r].fillna("").unique()) for r in random]
-        groups = [s[r].fillna("").map({v: i for i, v in enumerate(lv)}).to_numpy() for r, lv in zip(random, levels)]
-        beta, effects, _ = fit_glmm((x - mean) / sd, s["y"].to_numpy(float), groups)
-        eta = F.lit(float(beta[0]))
-        for k, f in enumerate(names):
-            eta = eta + (F.col(f) - float(mean[k])) / float(sd[k]) * float(beta[k + 1])
-        for r, lv, e in zip(random, levels, effects):
-            pairs = [v for name, x in zip(lv, e) for v in (F.lit(name), F.lit(float(x)))]
-            eta = eta + F.coalesce(F.create_map(*pairs)[F.coalesce(F.col(r), F.lit(""))], F.lit(0.0))
-        return b.withColumn("score", 1 / (1 + F.exp(-eta)))
-
-    return run
+def glmm(random: Sequence[str] = ("donor",), ratio: float | None = None, cap: int | None = None) -> Folds:
+    """Logistic model with random intercepts by ``random``; see ``mixed_logistic.glmm``."""
+    return Folds(mixed_logistic.glmm(random, ratio, cap), needs=random)
 
 
 MODELS: dict[str, Callable] = {"fixed_threshold": fixed_threshold, "glm": glm, "random_forest": forest(), "boosted_trees": boosted(), "glmm": glmm()}
@@ -149,7 +89,8 @@ def out_of_fold(table: DataFrame, features: Sequence[str], model: str | Callable
     fit = MODELS[model] if isinstance(model, str) else model
     if isinstance(fit, Folds):
         t = folded.loeo(table, donor)
-        return fit.scores(folded.prepare(t, features, keep, donor), keep).select(*keep, "fold", "score", "error")
+        whole = [*keep, *[c for c in fit.needs if c not in keep]]
+        return fit.scores(folded.prepare(t, features, whole, donor), keep).select(*keep, "fold", "score", "error")
     donors = [r[0] for r in table.select(donor).distinct().orderBy(donor).collect()]
     parts = []
     for i, d in enumerate(donors, 1):

@@ -67,7 +67,8 @@ def leave_one_donor_out(table: DataFrame, arms: Mapping[str, Sequence[str]], fam
     for arm, features in arms.items():
         whole = {m: f for m, f in families.items() if isinstance(f, models.Folds)}
         if whole:
-            f = folded.prepare(folded.loeo(t), features, KEEP)
+            more = sorted({c for fit in whole.values() for c in fit.needs} - set(KEEP))
+            f = folded.prepare(folded.loeo(t), features, [*KEEP, *more])
             parts += [fit.scores(f, KEEP).select(*KEEP, *names(arm, m), "fold", "score", "error") for m, fit in whole.items()]
         for i, d in enumerate(donors, 1):
             train, test = t.where(F.col("donor") != d), t.where(F.col("donor") == d)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..ml import boosting, folded, models
+from ..ml import boosting, folded, mixed_logistic, models
 from ..operators.ranking import auprc
 from ..session import table
 
@@ -68,7 +69,16 @@ def boosted_first_split(spark, d):
     return best.select(at(f.folds, F.col("k")).alias("fold"), at(FEATURES, F.col("f")).alias("feature"), F.round(cut, 9).alias("threshold"), "miss_left", F.col("n_left").cast("long").alias("n_left"), F.col("n_right").cast("long").alias("n_right"), *sums)
 
 
+def glmm_case_control(spark, d):
+    """The rows each fold draws for the mixed model at 0.1 negatives a positive and at most 200 rows, and what that takes from the intercept."""
+    f = folded.prepare(folded.loeo(training_table(spark, d)), FEATURES, ["read_id", "donor"])
+    fits, _ = mixed_logistic.fit(f, [F.col("donor")], np.zeros((len(f.folds), len(FEATURES))), mixed_logistic.uniform(1729, F.col("read_id")), ratio=0.1, cap=200, rounds=0)
+    rows = [(f.folds[k], *m.drawn, round(float(np.log(m.prior)), 9)) for k, m in fits.items()]
+    return spark.createDataFrame(rows, "fold int, n_pos long, n_neg long, log_prior double")
+
+
 QUERIES = {
+    "glmm_case_control": glmm_case_control,
     "fixed_threshold_choice": fixed_threshold_choice,
     "boosted_first_split": boosted_first_split,
     "fixed_threshold_oof": _oof("fixed_threshold"),
@@ -132,4 +142,14 @@ FROM gains WHERE n_left > 0 AND na > n_left AND h_left >= 1 AND ha - h_left >= 1
 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, j, bin, miss_left DESC) = 1
 """
 
-ORACLES: dict[str, str] = {"fixed_threshold_choice": _CHOICE, "boosted_first_split": _SPLIT}
+_DRAWN = f"""
+WITH {_ROWS},
+one AS (SELECT fold, read_id, y, ('0x' || substr(md5('1729|' || read_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM train WHERE j = 0),
+n AS (SELECT fold, sum(y) AS p, sum(1 - y) AS q FROM one GROUP BY fold HAVING sum(y) > 0 AND sum(1 - y) > 0),
+few AS (SELECT *, least(1, 0.1::DOUBLE * p / q) AS s FROM n),
+part AS (SELECT *, least(1, 200 / (p + s * q)) AS c FROM few),
+got AS (SELECT fold, p, q, count(*) FILTER (y = 1 AND u < c) AS n_pos, count(*) FILTER (y = 0 AND u < s * c) AS n_neg FROM one JOIN part USING (fold) GROUP BY ALL)
+SELECT fold::INT AS fold, n_pos, n_neg, round(ln((n_neg / q) / (n_pos / p)), 9) AS log_prior FROM got WHERE n_pos > 0 AND n_neg > 0
+"""
+
+ORACLES: dict[str, str] = {"glmm_case_control": _DRAWN, "fixed_threshold_choice": _CHOICE, "boosted_first_split": _SPLIT}

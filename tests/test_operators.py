@@ -270,12 +270,6 @@ def test_models(spark):
         assert o.count() == 240 and ranking.auprc(o, [], "y", "score", ["read_id"]).first().auprc > 0.8
     bad = models.out_of_fold(t, ["f1"], lambda *a: 1 / 0)
     assert bad.where("error is not null and score is null").count() == 240
-    x = rng.normal(size=(3000, 1))
-    g = rng.integers(0, 20, 3000)
-    u = rng.normal(0, 1, 20)
-    y = (rng.random(3000) < 1 / (1 + np.exp(-(0.5 + 1.5 * x[:, 0] + u[g])))).astype(float)
-    beta, eff, _ = models.fit_glmm(x, y, [g])
-    assert abs(beta[1] - 1.5) < 0.25 and np.corrcoef(eff[0], u)[0, 1] > 0.9
 
 
 def test_profiles(spark):
