@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..ml import models, run, store
 from ..operators import ranking
 from ..operators.folds import fold_table
+from ..operators.profiles import Profile
 from ..session import scratch, table
+from ..stages import Run, Stage, run_folder
 from ..stats import study
 from .bridge import LEVELS, PREDICTIONS_SQL, predictions
 from .evaluation import _ROWS as LABELLED_SQL, _WIL, _rows as labelled_rows, metric_sql, rounded
@@ -118,6 +120,25 @@ def fold_artefact(spark, d):
     return store.load_folds(spark, path).select("scheme", "fold", "test_species", F.array_join("test_donors", ",").alias("test_donors"), F.array_join("train_donors", ",").alias("train_donors"), text.alias("inner_groups"))
 
 
+def staged_run(spark, d):
+    """Three stages with their tables in the folder of the cut-offs: the first alone, then what is left; rows of each fold's parts."""
+    folder = run_folder(scratch(spark), Profile())
+    labels = Stage("labels", ("labels",), lambda read: {"labels": run.usable(run_table(spark, d)).select("read_id", "donor", "species", "y", "label")})
+    folds = Stage("folds", ("folds",), lambda read: {"folds": fold_table(read("labels"), k=2)}, ("labels",))
+
+    def counted(read):
+        held = read("folds").where("scheme = 'LOEO'").select("fold", F.explode("test_donors").alias("donor"))
+        by = read("labels").groupBy("donor").agg(F.count(F.lit(1)).alias("n_test"), F.sum("y").cast("long").alias("n_test_pos"))
+        return {"parts": held.join(F.broadcast(by), "donor").select("fold", "donor", "n_test", "n_test_pos")}  # a row a donor
+
+    r = Run(spark, folder, [labels, folds, Stage("parts", ("parts",), counted, ("labels", "folds"))])
+    r.keep_settings(Profile(), k=2)
+    r.run(only=["labels"])
+    ran = ",".join(r.run())
+    kept = r.read("settings").select("name", "min_identity", "k")
+    return r.read("parts").crossJoin(F.broadcast(kept)).withColumn("ran", F.lit(ran))  # one row of settings
+
+
 def run_inner_scores(spark, d):
     """Inner average precision of the logistic model for each held-out donor."""
     t = run_table(spark, d).persist()
@@ -196,7 +217,7 @@ SELECT id, family, comparison, n_folds, round(median_diff, 6) AS median_diff, ro
        round(CASE WHEN wilcox_p IS NOT NULL THEN h END, 9) AS holm_sidak_p, CASE WHEN family = 'primary' THEN coalesce(wilcox_p IS NOT NULL AND h < 0.05, false) ELSE coalesce(ci_lo > 0 OR ci_hi < 0, false) END AS significant
 FROM al LEFT JOIN hs USING (id)"""
 
-QUERIES = {f.__name__: f for f in (study_contrasts, study_hypotheses, study_mixed_supplement, study_choice, model_run, stored_read_calls, fold_artefact, run_inner_scores)}
+QUERIES = {f.__name__: f for f in (study_contrasts, study_hypotheses, study_mixed_supplement, study_choice, model_run, stored_read_calls, fold_artefact, staged_run, run_inner_scores)}
 ORACLES = {
     "stored_read_calls": f"""WITH {PREDICTIONS_SQL},
 p AS (SELECT * FROM preds WHERE arm = 'combined' AND model = 'mixed'),
@@ -224,6 +245,8 @@ mi AS (
   FROM ml JOIN de ON (ml.arm = arm_a AND ml.model = model_a) OR (ml.arm = arm_b AND ml.model = model_b) WHERE scheme = 'LOEO' AND de.id IN ('H1', 'H2', 'H4')), {mixed_sql("mi", 1)}
 SELECT split_part(id, '|', 1) AS id, split_part(id, '|', 2) AS comparison, round(estimate, 6) AS mixed_estimate, round(p_value, 9) AS mixed_p, n AS n_units, CASE WHEN estimate IS NULL THEN 'none' ELSE 'reml' END AS engine FROM mi_fit""",
     "study_choice": f"WITH {STUDY_SQL} SELECT f AS family, t AS tree, s AS single FROM ch",
+    "staged_run": """SELECT row_number() OVER (ORDER BY t.k)::INT AS fold, 'D' || t.k AS donor, n_test, n_test_pos, 'fixed' AS name, '0.9' AS min_identity, '2' AS k, 'folds,parts' AS ran
+FROM (SELECT doc_id % 3 AS k, count(*) AS n_test, sum(quality)::BIGINT AS n_test_pos FROM documents JOIN labels USING (doc_id) GROUP BY 1) t""",
     # Counts of the run: donors D0 to D2 are folds 1 to 3; a taxon's fold tests the donors at odd or even places.
     "model_run": """WITH t AS (SELECT doc_id, lang, quality AS y, (doc_id % 3)::INT AS k FROM documents JOIN labels USING (doc_id)),
 ds AS (SELECT k, row_number() OVER (ORDER BY k) AS fold FROM (SELECT DISTINCT k FROM t)),
