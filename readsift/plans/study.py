@@ -40,11 +40,16 @@ def study_predictions(spark, d):
 _KEY = ["arm", "model", "scheme", "fold"]
 
 
-def study_metrics(spark, d):
-    """Metric rows of reads, in all and by level, and of cells (donor, level and taxon; score and truth are means)."""
+def study_metrics(spark, d, levels=True, cells=True):
+    """Metric rows of reads, in all and by level, and of cells (donor, level and taxon; score and truth are means).
+
+    Callers that use no levels or no cells leave them out. Scores repeat, so they are counted first.
+    """
     p = study_predictions(spark, d)
-    reads = p.withColumn("stratum", F.explode(F.array(F.lit("all"), F.col("titration_level"))))
-    m = ranking.auprc(reads, [*_KEY, "stratum"], "y", "score", ["read_id"]).withColumn("level", F.lit("read"))
+    m = ranking.counted_metric_rows(p, _KEY, "y", "score", ["read_id"], (0.95,), level="titration_level" if levels else None)
+    m = m.select(*_KEY, "stratum" if levels else F.lit("all").alias("stratum"), "auprc", "n_pos", "n_neg", F.lit("read").alias("level"))
+    if not cells:
+        return m
     cell = p.where("scheme = 'LOEO' and arm = 'combined'").groupBy(*_KEY, "titration_level", "taxon").agg(F.avg("score").alias("score"), (F.avg("y") >= 0.5).cast("int").alias("y"))
     cell = cell.withColumn("cell", F.concat_ws("|", "titration_level", "taxon"))
     c = ranking.auprc(cell, _KEY, "y", "score", ["cell"]).withColumn("stratum", F.lit("all")).withColumn("level", F.lit("sample_taxon"))
@@ -73,7 +78,7 @@ def study_hypotheses(spark, d):
 
 def study_mixed_supplement(spark, d):
     """H1, H2 and H4 over the rows of all folds and levels, with a random intercept a fold."""
-    return rounded(rounded(study.mixed_supplement(study_metrics(spark, d).persist()), "mixed_estimate"), "mixed_p", k=9)
+    return rounded(rounded(study.mixed_supplement(study_metrics(spark, d, cells=False).persist()), "mixed_estimate"), "mixed_p", k=9)
 
 
 def study_choice(spark, d):

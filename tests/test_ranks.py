@@ -77,3 +77,31 @@ def test_metrics_of_a_hot_group_equal_a_plain_scan(spark, rows):
             tp += r[3]
             ap += r[3] * tp / i
         assert got[g].auprc == pytest.approx(ap / p, rel=1e-9)
+
+
+def test_metrics_from_counts_of_scores_equal_those_of_rows(spark, rows):
+    """Repeated scores of one class, shared scores with their ties, zeros of both signs, nulls, and groups without positives."""
+    more = [("big", 20000 + i, [0.9, 0.7, 0.5][i % 3], 1 if i % 3 == 1 else 0) for i in range(900)] + [("neg", 30000 + i, 0.5, 0) for i in range(9)]
+    more += [("zero", 40000 + i, [0.0, -0.0, float("nan"), float("inf")][i % 4], i // 4 % 2) for i in range(40)]
+    d = spark.createDataFrame([*rows, *more], SCHEMA).withColumn("lv", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string"))).repartition(5)
+    targets = (0.3, 0.9, 0.95)
+    each = d.withColumn("stratum", F.explode(F.array(F.lit("all"), F.col("lv"))))
+    for got, want, by in (
+        (ranking.counted_metric_rows(d, ["g"], "y", "s", ["id"], targets), ranking.metric_rows(d, ["g"], "y", "s", ["id"], targets), ["g"]),
+        (ranking.counted_metric_rows(d, ["g"], "y", "s", ["id"], targets, level="lv"), ranking.metric_rows(each, ["g", "stratum"], "y", "s", ["id"], targets), ["g", "stratum"]),
+    ):
+        key = lambda r: tuple(r[c] for c in [*by, "recall_target"])  # noqa: E731, B023
+        a, b = {key(r): r for r in got.collect()}, {key(r): r for r in want.collect()}
+        assert set(a) == set(b) and got.columns == want.columns
+        for k, r in b.items():
+            assert [a[k][c] if a[k][c] is None else pytest.approx(a[k][c], rel=1e-12) for c in want.columns[len(by) :]] == list(r[len(by) :])
+
+
+def test_only_scores_of_both_classes_are_ranked_row_by_row(spark, monkeypatch):
+    """The ordered table has a row a score and the rows of shared scores, however many rows there are."""
+    n = []
+    real = ranking.running
+    monkeypatch.setattr(ranking, "running", lambda df, *a: n.append(df.count()) or real(df, *a))
+    d = spark.range(60000).selectExpr("id", "1 - id % 2 y", "IF(id < 50, 0.5, id % 2 * 0.1 + id % 10 * 0.01) s")
+    assert ranking.counted_metric_rows(d, [], "y", "s", ["id"], (0.95,)).first().n_pos == 30000
+    assert sum(n) < 200
