@@ -62,7 +62,7 @@ def study_calibration(spark, d):
 
 def study_contrasts(spark, d):
     """The paired contrasts by chosen family: folds, median difference and exact p."""
-    v = study.vectors(study_metrics(spark, d), study_calibration(spark, d)).persist()  # folds x arms x models
+    v = study.vectors(study_metrics(spark, d, levels=False), study_calibration(spark, d)).persist()  # folds x arms x models
     family = study.choose_family(None, v)
     pairs = study.design(spark, family, study.choose_family(None, v, study.TREES), study.choose_arm(v, family))
     e = pairs.select("id", "family", "comparison").join(study.contrasts(v, pairs), "id")
