@@ -83,7 +83,7 @@ def study_mixed_supplement(spark, d):
 
 def study_choice(spark, d):
     """The family, tree family and single arm that the contrasts use, chosen by outer folds."""
-    v = study.vectors(study_metrics(spark, d)).persist()
+    v = study.vectors(study_metrics(spark, d, levels=False, cells=False)).persist()
     family = study.choose_family(None, v)
     return spark.createDataFrame([(family, study.choose_family(None, v, study.TREES), study.choose_arm(v, family))], "family string, tree string, single string")
 
