@@ -1,9 +1,12 @@
-"""Sequence-complexity functions, all inside the JVM. Letters a-z are taken as A-Z."""
+"""Sequence-complexity functions. Letters a-z are taken as A-Z."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _LOW = "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,15 +28,28 @@ def homopolymer_frac(s: Column) -> Column:
     return longest / F.greatest(F.length(s), F.lit(1))
 
 
-def dust_scores(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dust_score): sum of c(c-1) over triplets, over 2(L-2); 0 below three characters.
+def _dust(text: bytes | None) -> float:
+    x = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    if len(x) < 3:
+        return 0.0
+    x = np.where((x >= 97) & (x <= 122), x - 32, x)
+    c = np.unique((x[:-2] << 42) | (x[1:-1] << 21) | x[2:], return_counts=True)[1]
+    return float((c * (c - 1)).sum() / (2 * (len(x) - 2)))
+
+
+@F.pandas_udf(DoubleType())
+def _dust_scores(texts: pd.Series) -> pd.Series:
+    return texts.map(_dust).astype("float64")
+
 
-    One regular-expression pass finds the overlapping triplets, linear in the text; they are counted
-    in two partial aggregations, so a long text costs rows and not one large map in one row.
+def dust_score(text: str) -> Column:
+    """Sum of c(c-1) over the counts c of a text's triplets, over 2(L-2); 0 below three characters and for null.
+
+    Triplets are counted where the row is, so that nothing but the score leaves it; texts go to the counter in Arrow batches.
     """
-    n = F.length(text)
-    triplets = F.regexp_extract_all(upper(F.col(text)), F.lit("(?s)(?=(...))"), 1)
-    t = df.where(n >= 3).select(key, n.alias("n"), F.explode(triplets).alias("t"))
-    c = t.groupBy(key, "n", "t").agg(F.count(F.lit(1)).alias("c"))
-    d = c.groupBy(key).agg((F.sum(F.col("c") * (F.col("c") - 1)) / (2 * (F.max("n") - 2))).alias("dust_score"))
-    return df.select(key).join(d, key, "left").select(key, F.coalesce("dust_score", F.lit(0.0)).alias("dust_score"))
+    return _dust_scores(F.col(text).cast("binary"))
+
+
+def dust_scores(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dust_score) of each row."""
+    return df.select(key, dust_score(text).alias("dust_score"))

@@ -290,9 +290,7 @@ SELECT doc_id, round((n - length(replace(replace(s, 'G', ''), 'C', ''))) / great
 FROM u LEFT JOIN hp USING (doc_id) LEFT JOIN du USING (doc_id)""")
 def sequence_complexity(spark, d):
     t = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    dust = sequence.dust_scores(t, "doc_id", "text")
-    c = t.select("doc_id", R(sequence.gc_fraction(F.col("text"))).alias("gc"), R(sequence.homopolymer_frac(F.col("text"))).alias("homopolymer_frac"))
-    return c.join(dust, "doc_id").withColumn("dust_score", R("dust_score"))
+    return t.select("doc_id", R(sequence.gc_fraction(F.col("text"))).alias("gc"), R(sequence.homopolymer_frac(F.col("text"))).alias("homopolymer_frac"), R(sequence.dust_score("text")).alias("dust_score"))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_suppkey % 7 AS tx, l_quantity::BIGINT AS c FROM lineitem), a AS (SELECT o_orderkey, o_orderkey % 7 AS tx FROM orders),

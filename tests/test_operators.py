@@ -174,6 +174,19 @@ def test_sequences(spark):
     assert rows(s.select(names.species_group(F.col("c")))) == [("Candida_albicans",), ("Escherichia_coli",)]
 
 
+def test_triplets_are_counted_without_a_shuffle(spark):
+    texts = ["aAaé\n\U0001f600gGgg", "ab" * 5000, "\U0001f600" * 4, "xy", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    out = sequence.dust_scores(d, "id", "s")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.dust_score for r in out.collect()}
+    for i, t in enumerate(texts):
+        t = "".join(c.upper() if "a" <= c <= "z" else c for c in t or "")
+        each = [t[k : k + 3] for k in range(len(t) - 2)]
+        want = sum(c * (c - 1) for c in (each.count(x) for x in set(each))) / (2 * len(each)) if each else 0.0
+        assert math.isclose(got[i], want, rel_tol=1e-12)
+
+
 def test_metrics(spark):
     d = spark.createDataFrame([(1, 1, 0.9), (2, 1, 0.8), (3, 0, 0.2), (4, 0, 0.1), (5, 1, float("nan")), (6, None, 0.5)], "id int, y int, s double")
     m = ranking.metric_rows(d, [], "y", "s", ["id"], (0.5, 1.0)).collect()
