@@ -72,7 +72,7 @@ def study_contrasts(spark, d):
 def study_hypotheses(spark, d):
     """All rows H1 to H12 with intervals, adjusted p and significance."""
     m = study_metrics(spark, d).persist()  # a row a metric
-    h = study.hypothesis_rows(m, study_predictions(spark, d), study_calibration(spark, d))
+    h = study.hypothesis_rows(m, study_predictions(spark, d), study_calibration(spark, d).persist())
     return rounded(rounded(h, "median_diff", "ci_lo", "ci_hi"), "wilcox_p", "holm_sidak_p", k=9)
 
 
