@@ -2,15 +2,17 @@
 
 The table has read_id, donor, titration_level, species, label, end_reason_unblock and the features.
 Ambiguous and indeterminate rows take no part. Arms, models, donors and held-out taxa are design
-data, so the loops over them are few; each fit and each scoring is a Spark job over the rows.
+data, so the loops over them are few. Families of the kind ``models.Folds`` fit all their parts (arms, ablations,
+held-out donors and taxa) in the same passes over one table; others fit part by part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.folds import balance_weights, fold_table, inner_of, loto_folds, loto_masks
@@ -56,41 +58,103 @@ def donors_of(table: DataFrame) -> list[str]:
     return [r[0] for r in table.select("donor").where("donor is not null").distinct().orderBy("donor").collect()]  # a handful
 
 
+@dataclass
+class Part:
+    """One fit of a run: its names, its features, and the rows that train and test it."""
+
+    arm: str
+    model: str
+    scheme: str
+    fold: int
+    features: Sequence[str]
+    trains: Column
+    tests: Column
+
+    @property
+    def names(self) -> dict[str, str | int]:
+        return {"arm": self.arm, "model": self.model, "scheme": self.scheme, "fold": self.fold}
+
+
+def at_once(t: DataFrame, parts: Sequence[Part], families: Mapping[str, models.Folds], inner: Mapping) -> Iterator[DataFrame]:
+    """Predictions of ``parts``, which all ``families`` fit: one table, and one set of passes a family.
+
+    Where such a fit fails, the parts are fitted one by one, so that only those that fail have no scores.
+    """
+    try:
+        t = t.withColumns({"trains": models.numbered([p.trains for p in parts]), "tests": models.numbered([p.tests for p in parts])})
+        keep = list(dict.fromkeys([*KEEP, *[c for fit in families.values() for c in fit.needs]]))
+        names = list(dict.fromkeys(c for p in parts for c in p.features))
+        alike = all(list(p.features) == names for p in parts)
+        f = folded.prepare(t, names, keep, used=None if alike else {i: p.features for i, p in enumerate(parts, 1)})
+    except Exception:  # noqa: BLE001  each part is tried by itself
+        f = None
+    which = F.element_at(F.array(*[F.struct(F.lit(p.arm).alias("arm"), F.lit(p.scheme).alias("scheme"), F.lit(p.fold).alias("fold")) for p in parts]), F.col("fold"))
+    for m, fit in families.items():
+        try:
+            d = None if f is None else fit.scores(f, KEEP)
+        except Exception:  # noqa: BLE001
+            d = None
+        if d is not None:
+            yield d.withColumn("__p", which).select(*KEEP, "__p.arm", F.lit(m).alias("model"), "__p.scheme", "__p.fold", "score", "error")
+            continue
+        for p in parts:
+            yield one_fold(t.where(p.trains), t.where(p.tests), p.features, fit, inner.get((p.scheme, p.fold), []), **(p.names | {"model": m}))
+
+
+def predictions(t: DataFrame, parts: Sequence[Part], families: Mapping[str, Family], inner: Mapping) -> Iterator[DataFrame]:
+    """Predictions of all parts, in pieces as they are made; no piece is made before it is asked for."""
+    together: dict[tuple, tuple[list[Part], dict[str, models.Folds]]] = {}
+    for m, fit in families.items():
+        mine = [p for p in parts if p.model == m]
+        if not isinstance(fit, models.Folds):
+            for p in mine:
+                yield one_fold(t.where(p.trains), t.where(p.tests), p.features, fit, inner.get((p.scheme, p.fold), []), **p.names)
+            continue
+        for features in [None] if fit.subsets else dict.fromkeys(tuple(p.features) for p in mine):
+            some = [p for p in mine if features is None or tuple(p.features) == features]
+            if some:  # families that fit the same parts share a table
+                together.setdefault(tuple((p.arm, p.scheme, p.fold, tuple(p.features)) for p in some), (some, {}))[1][m] = fit
+    for some, fits in together.values():
+        yield from at_once(t, some, fits, inner)
+
+
+def donor_parts(donors: Sequence[str], arms: Mapping[str, Sequence[str]], family: Iterable[str]) -> list[Part]:
+    """Every arm and family for each held-out donor (scheme LOEO)."""
+    return [Part(arm, m, "LOEO", i, features, F.col("donor") != d, F.col("donor") == d) for arm, features in arms.items() for i, d in enumerate(donors, 1) for m in family]
+
+
+def taxon_parts(t: DataFrame, donors: Sequence[str], arm: str, features: Sequence[str], model: str) -> list[Part]:
+    """Each taxon of the positives, held out together with half of the donors (scheme LOTO).
+
+    A taxon whose part lacks positives or negatives in training or test has no fold. That is found from the kinds of rows
+    (donor, taxon, label), not from a copy of every row for each taxon.
+    """
+    kinds = t.select("donor", "species", "label", "y").distinct()
+    masked = loto_masks(kinds, loto_folds(kinds, kinds.where("y = 1")), kinds)
+    whole = masked.groupBy("fold", "test_species").agg(*[F.count(F.when((F.col("part") == p) & (F.col("y") == v), 1)).alias(f"n{p}{v}") for p in ("train", "test") for v in (0, 1)])
+    good = whole.where("ntrain0 > 0 and ntrain1 > 0 and ntest0 > 0 and ntest1 > 0").select("fold", "test_species").orderBy("fold").collect()  # one a taxon
+    negative, out = F.col("label") == "negative", []
+    for i, taxon in good:
+        tested = [d for k, d in enumerate(donors, 1) if k % 2 == i % 2 or len(donors) == 1]
+        test, held = F.col("donor").isin(*tested), F.col("species") == F.lit(taxon)
+        out.append(Part(arm, model, "LOTO", i, features, ~test & (negative | ~held), test & (negative | held)))
+    return out
+
+
 def leave_one_donor_out(table: DataFrame, arms: Mapping[str, Sequence[str]], families: Mapping[str, Family], k: int = 3, seed: int = 1729, folds: DataFrame | None = None) -> DataFrame:
     """Predictions of every arm and family for each held-out donor (scheme LOEO).
 
     Families with candidates are tuned over the inner groups of ``folds`` (see ``fold_table``), made here if not given.
     """
-    t, parts = usable(table), []
-    donors, inner = donors_of(t), _inner(t, families.values(), k, seed, folds)
-    names = lambda arm, m: (F.lit(arm).alias("arm"), F.lit(m).alias("model"), F.lit("LOEO").alias("scheme"))
-    for arm, features in arms.items():
-        whole = {m: f for m, f in families.items() if isinstance(f, models.Folds)}
-        if whole:
-            more = sorted({c for fit in whole.values() for c in fit.needs} - set(KEEP))
-            f = folded.prepare(folded.loeo(t), features, [*KEEP, *more])
-            parts += [fit.scores(f, KEEP).select(*KEEP, *names(arm, m), "fold", "score", "error") for m, fit in whole.items()]
-        for i, d in enumerate(donors, 1):
-            train, test = t.where(F.col("donor") != d), t.where(F.col("donor") == d)
-            parts += [one_fold(train, test, features, f, inner.get(("LOEO", i), []), arm=arm, model=m, scheme="LOEO", fold=i) for m, f in families.items() if m not in whole]
-    return reduce(DataFrame.unionByName, parts)
+    t = usable(table)
+    return reduce(DataFrame.unionByName, predictions(t, donor_parts(donors_of(t), arms, families), families, _inner(t, families.values(), k, seed, folds)))
 
 
 def leave_one_taxon_out(table: DataFrame, arm: str, features: Sequence[str], model: str, family: Family, k: int = 3, seed: int = 1729, folds: DataFrame | None = None) -> DataFrame | None:
-    """Predictions for each taxon of the positives, held out together with half of the donors (scheme LOTO).
-
-    A taxon whose part lacks positives or negatives in training or test has no fold; None without any.
-    """
+    """Predictions for each taxon of the positives, held out together with half of the donors (see ``taxon_parts``); None without any."""
     t = usable(table)
-    inner = _inner(t, [family], k, seed, folds)
-    masked = loto_masks(t, loto_folds(t, t.where("y = 1")), t)
-    whole = masked.groupBy("fold").agg(*[F.count(F.when((F.col("part") == p) & (F.col("y") == v), 1)).alias(f"n{p}{v}") for p in ("train", "test") for v in (0, 1)])
-    good = [r[0] for r in whole.where("ntrain0 > 0 and ntrain1 > 0 and ntest0 > 0 and ntest1 > 0").select("fold").orderBy("fold").collect()]  # one a taxon
-    parts = []
-    for i in good:
-        train, test = (masked.where((F.col("fold") == i) & (F.col("part") == p)).drop("fold", "part", "test_species", "test_parity") for p in ("train", "test"))
-        parts.append(one_fold(train, test, features, family, inner.get(("LOTO", i), []), arm=arm, model=model, scheme="LOTO", fold=i))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    made = list(predictions(t, taxon_parts(t, donors_of(t), arm, features, model), {model: family}, _inner(t, [family], k, seed, folds)))
+    return reduce(DataFrame.unionByName, made) if made else None
 
 
 def inner_scores(table: DataFrame, arm: str, features: Sequence[str], families: Mapping[str, Callable], k: int = 3, seed: int = 1729, folds: DataFrame | None = None) -> DataFrame:
@@ -121,16 +185,17 @@ def run(
         if into is not None:
             store.save(part, into)
 
-    done(leave_one_donor_out(table, arms, families, folds=folds))
+    t = usable(table)
+    donors = donors_of(t)
     cut = {f"{arm}_minus_{k}": ablated(arms[arm], blocks, drop) for k, drop in ablations.items()}
     cut = {k: v for k, v in cut.items() if len(v) < len(arms[arm])}
-    if cut:
-        done(leave_one_donor_out(table, cut, {best: families[best]}, folds=folds))
-    if loto:
-        taxa = leave_one_taxon_out(table, arm, arms[arm], best, families[best], folds=folds)
-        if taxa is not None:
-            done(taxa)
     mixed = {f"glmm_{k}": models.glmm(("donor",) if c is None else ("donor", c)) for k, c in sources.items() if c is None or c in table.columns}
-    if mixed:
-        done(leave_one_donor_out(table, {arm: arms[arm]}, mixed))
+    wanted = [*donor_parts(donors, arms, families), *donor_parts(donors, cut, [best])]
+    if loto:
+        wanted += taxon_parts(t, donors, arm, arms[arm], best)
+    inner = _inner(t, families.values(), 3, 1729, folds)
+    for part in predictions(t, wanted, families, inner):
+        done(part)
+    for part in predictions(t, donor_parts(donors, {arm: arms[arm]}, mixed), mixed, {}):
+        done(part)
     return reduce(DataFrame.unionByName, parts) if into is None else store.load(table.sparkSession, into)
