@@ -159,11 +159,10 @@ def leave_one_taxon_out(table: DataFrame, arm: str, features: Sequence[str], mod
 
 def inner_scores(table: DataFrame, arm: str, features: Sequence[str], families: Mapping[str, Callable], k: int = 3, seed: int = 1729, folds: DataFrame | None = None) -> DataFrame:
     """(arm, model, fold, inner_auprc) of each family over inner donor folds; never sees the held-out donor."""
-    t, rows = usable(table), []
+    t = usable(table)
     donors, inner = donors_of(t), inner_of(fold_table(t, k, seed) if folds is None else folds)
-    for i, d in enumerate(donors, 1):
-        train = t.where(F.col("donor") != d)
-        rows += [(arm, m, i, models.inner_score(train, features, f, inner["LOEO", i])) for m, f in families.items()]
+    got = models.inner_scores(t, features, families, [(d, inner["LOEO", i]) for i, d in enumerate(donors, 1)])
+    rows = [(arm, m, i, got[m][i - 1]) for i in range(1, len(donors) + 1) for m in families]
     return table.sparkSession.createDataFrame(rows, "arm string, model string, fold int, inner_auprc double")
 
 
